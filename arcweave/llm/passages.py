@@ -3,9 +3,9 @@
 Recurring passages are confirmed without sending all windows around: of each window of
 ``span`` words, the least hash of its inner runs of words is an anchor, equal windows have
 equal anchors, and only windows whose anchor lies in two documents are hashed, counted and
-given an owner (the least id that has them). Runs of confirmed windows with one owner are
-compiled, a shard of documents at a time, into an Aho-Corasick automaton, and the shard's
-documents stream through it: every occurrence in a document above the owner is removed."""
+given an owner (the least id that has them). Maximal runs of confirmed windows are compiled, a shard
+of documents at a time, into an Aho-Corasick automaton, and the shard's documents stream
+through it: every occurrence in a document above all owners of its windows is removed."""
 
 from __future__ import annotations
 
@@ -94,10 +94,12 @@ def covered(docs: list[tuple[int, list[bytes], np.ndarray, dict[int, int]]], spa
         i = 0
         while i < len(found):
             j = i
-            while j + 1 < len(found) and found[j + 1] == found[j] + 1 and lo[j + 1] == lo[i]:
+            while j + 1 < len(found) and found[j + 1] == found[j] + 1:
                 j += 1
-            # Word k of the line begins at starts[k] + 1 of the padded text.
-            owners[text[-1][starts[found[i]] : starts[found[j] + span] + 1]] = lo[i]
+            # Word k of the line begins at starts[k] + 1 of the padded text. Above the largest
+            # owner of its windows, the whole passage goes; a document between the owners has
+            # passages of its own for the windows that it loses.
+            owners[text[-1][starts[found[i]] : starts[found[j] + span] + 1]] = max(lo[i : j + 1])
             i = j + 1
     automaton = ahocorasick.Automaton()
     for passage, owner in owners.items():
