@@ -44,6 +44,14 @@ def shingles(words: list[int] | list[str]) -> set[tuple]:
     return {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
 
 
+def _entries(starts: np.ndarray, lists: np.ndarray) -> np.ndarray:
+    """Positions of the entries of some lists that begin at starts[i] and end at starts[i + 1]."""
+    first = starts[lists]
+    counts = starts[lists + 1] - first
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + counts, counts)
+
+
 class Index:
     """Postings of item units (at most ``unit`` terms each) with list and block maxima.
 
@@ -102,13 +110,12 @@ class Index:
 
     def search(self, query: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """(unit, score) of all units at or above the threshold; query: distinct term numbers."""
-        runs = [np.arange(a, b) for a, b in zip(self.block_lists[query], self.block_lists[query + 1], strict=True)]
-        at = np.concatenate(runs) if runs else np.empty(0, np.int64)
+        at = _entries(self.block_lists, query)
         bound = np.bincount(self.block_of[at], self.block_max[at], self.blocks)
         live = bound >= threshold - 1e-9
         if not live.any():
             return []
-        at = np.concatenate([np.arange(a, b) for a, b in zip(self.lists[query], self.lists[query + 1], strict=True)])
+        at = _entries(self.lists, query)
         at = at[live[self.unit_of[at] // self.block]]
         score = np.bincount(self.unit_of[at], self.weight[at], len(self.owner))
         return [(int(u), float(score[u])) for u in np.flatnonzero(score >= threshold - 1e-9)]
@@ -129,7 +136,7 @@ class TermNumbers(dict):
         return value
 
 
-def leaks_of(text: str, index: Index, numbers: TermNumbers, *, threshold: float, overlap: float, passage: int) -> list[tuple[int, float, float, float]]:
+def leaks_of(text: str, index: Index, numbers: TermNumbers, *, threshold: float, overlap: float, passage: int, stride: int) -> list[tuple[int, float, float, float]]:
     """(item id, score, question overlap, answer overlap) of one text."""
     words = np.fromiter(map(numbers.__getitem__, text.split()), np.int64)
     words = words[words >= 0]
@@ -137,7 +144,7 @@ def leaks_of(text: str, index: Index, numbers: TermNumbers, *, threshold: float,
     if not n:
         return []
     total = np.concatenate([[0.0], np.cumsum(index.list_max[words])])
-    starts = np.arange(0, max(1, n - passage // 2), passage // 2)  # half of each passage overlaps the next
+    starts = np.arange(0, max(1, n - passage + stride), stride)  # any passage - stride words lie whole in one of them
     ends = np.minimum(starts + passage, n)
     best: dict[int, float] = {}
     where: dict[int, list[int]] = {}
@@ -167,7 +174,7 @@ def leaks_of(text: str, index: Index, numbers: TermNumbers, *, threshold: float,
     return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.5, overlap: float = 0.8, passage: int = 128, most_index_mb: int = 512) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.5, overlap: float = 0.8, passage: int = 160, stride: int = 96, most_index_mb: int = 512) -> DataFrame:
     """One row per document and leaked item: doc_id, item_id, score, question_overlap, answer_overlap, answer_leaked.
 
     score: the best passage's BM25 over the item's own (1: all its terms). Items without a
@@ -187,7 +194,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
         ix = shared.value
         numbers = TermNumbers(ix.vocabulary)
         for ids, texts in text_batches(batches):
-            rows = [(i, *leak) for i, t in zip(ids, texts, strict=True) for leak in leaks_of(t, ix, numbers, threshold=threshold, overlap=overlap, passage=passage)]
+            rows = [(i, *leak) for i, t in zip(ids, texts, strict=True) for leak in leaks_of(t, ix, numbers, threshold=threshold, overlap=overlap, passage=passage, stride=stride)]
             if rows:
                 c = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), *(pa.array(x, pa.float64()) for x in c[2:]), pa.array([x >= overlap for x in c[4]], pa.bool_())], names=[x.split()[0] for x in schema.split(", ")])
