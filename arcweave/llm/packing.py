@@ -177,12 +177,14 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seen = Encoder(path), TaskContext.get().partitionId(), {}
-        for ids, texts in text_batches(batches):
+        for ids, texts in text_batches(batches, 8 << 20):
             out = [[] for _ in names]
-            for doc_id, flat in zip(ids, encoder.ids(texts), strict=True):
-                flat += END
-                for piece, at in enumerate(range(0, len(flat), 4 * capacity)):
-                    cut = flat[at : at + 4 * capacity]
+            flat, bounds = encoder.encode(pa.array(texts, pa.string()))
+            whole = flat.astype("<u4").tobytes()
+            for doc_id, begin, end in zip(ids, (4 * bounds[:-1]).tolist(), (4 * bounds[1:]).tolist(), strict=True):
+                own = whole[begin:end] + END
+                for piece, at in enumerate(range(0, len(own), 4 * capacity)):
+                    cut = own[at : at + 4 * capacity]
                     length = len(cut) // 4
                     rank = seen[length] = seen.get(length, -1) + 1
                     for column, value in zip(out, (doc_id, piece, at // 4, length, zlib.crc32(cut), part, rank), strict=True):

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,54 +102,81 @@ class Counter:
 _PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
+#: Words of printable characters below U+0100, none of them white space.
+_PLAIN = re.compile("[!-~\u00a1-\u00ff]+").fullmatch
+
+
 class Encoder:
-    """Ids of texts, as little-endian 32-bit bytes, under a BPE that drops white space."""
+    """Ids of texts under a BPE that drops white space.
+
+    Arrow cuts the texts at ASCII white space and numbers the distinct words; only these are
+    looked up, and only new ones encoded; ids are then gathered by position."""
 
     def __init__(self, path: str, batch_bytes: int = 1 << 16, keep: int = 1_500_000):
         self.tokenizer, self.batch_bytes, self.keep = load(path), batch_bytes, keep
-        self.memo: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}  # of pre-tokens
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self._reset()
 
-    def _each(self, pieces: list[str], memo: dict[str, bytes]) -> None:
-        for run in by_bytes(pieces, self.batch_bytes):
-            found = self.tokenizer.encode_batch_fast(run, add_special_tokens=False)
-            memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(run, found, strict=True))
+    def _reset(self) -> None:
+        self.memo: dict[str, int] = {}  # numbers of words
+        self.parts: dict[str, bytes] = {}  # ids of pre-tokens
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)  # by number, into the store
+        self.store = np.zeros(0, np.uint32)
 
-    def _words(self, words: list[str]) -> None:
+    def _each(self, pieces: list[str]) -> list[bytes]:
+        encode = self.tokenizer.encode_batch_fast
+        return [np.array(e.ids, "<u4").tobytes() for run in by_bytes(pieces, self.batch_bytes) for e in encode(run, add_special_tokens=False)]
+
+    def _add(self, words: list[str]) -> None:
         # Below U+0100 composed form is the text itself and lower case is by character, so
         # pre-tokens can be taken here and shared between words.
-        plain = [w for w in words if w.isprintable() and "<|" not in w and (w.isascii() or max(w) < "\u0100")]
-        self._each(list(set(words).difference(plain)), self.memo)
-        cut = [_PRE.findall(w.lower()) for w in plain]
-        new = list({p for pieces in cut for p in pieces}.difference(self.parts))
-        self._each([p for p in new if not p.isalpha()], self.parts)
+        pieces_of, known, new = _PRE.findall, self.parts, set()
+        plain = [bool(_PLAIN(w)) and "<|" not in w for w in words]
+        odd = [w for w, ok in zip(words, plain, strict=True) if not ok]
+        rest = dict(zip(odd, self._each(odd), strict=True))
+        cut = [((w,) if w in known else tuple(pieces_of(w))) if ok else () for w, ok in zip(map(str.lower, words), plain, strict=True)]
+        for pieces in cut:
+            new.update(pieces)
+        new = new.difference(known)
+        marks = [p for p in new if not p.isalpha()]
+        known.update(zip(marks, self._each(marks), strict=True))
         for run in by_bytes([p for p in new if p.isalpha()], self.batch_bytes):
-            ids = np.array(self.tokenizer.encode(" ".join(run), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(run)], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(self.ends[ids]) + 1
-            if len(at) != len(run) or (len(ids) and at[-1] != len(ids)):  # cannot be; then one by one
-                self._each(run, self.parts)
+            if len(at) != len(run) or at[-1] != len(ids):  # cannot be for these; then one by one
+                known.update(zip(run, self._each(run), strict=True))
             else:
                 flat, start = ids.tobytes(), 0
                 for w, end in zip(run, (4 * at).tolist(), strict=True):
-                    self.parts[w] = flat[start:end]
+                    known[w] = flat[start:end]
                     start = end
-        get = self.parts.__getitem__
-        self.memo.update((w, b"".join(map(get, pieces))) for w, pieces in zip(plain, cut, strict=True))
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        for memo in (self.memo, self.parts):
-            if len(memo) > self.keep:
-                memo.clear()
-        split = [t.split(" ") for t in texts]
-        wanted: set[str] = set()
-        for words in split:
-            wanted.update(words)
-        self._words(list(wanted.difference(self.memo)))
-        get = self.memo.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        found = [b"".join([known[p] for p in pieces]) if ok else rest[w] for w, pieces, ok in zip(words, cut, plain, strict=True)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        self.memo.update(zip(words, range(len(self.first), len(self.first) + len(words)), strict=True))
+        self.first = np.concatenate([self.first, len(self.store) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.store = np.concatenate([self.store, np.frombuffer(b"".join(found), "<u4")])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another (unsigned 32-bit), and where each text's begin and end."""
+        if len(self.memo) > self.keep:
+            self._reset()
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        get = self.memo.get
+        at = [get(w, -1) for w in distinct]
+        if new := [w for w, i in zip(distinct, at, strict=True) if i < 0]:
+            self._add(new)
+            at = [get(w) for w in distinct]
+        number = np.array(at, np.int64)[words.indices.to_numpy(zero_copy_only=False)]
+        size = self.size[number]
+        ends = np.cumsum(size)
+        flat = self.store[np.repeat(self.first[number] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return flat, bounds
 
 
 def text_batches(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[tuple[list, list[str]]]:
