@@ -66,9 +66,11 @@ class Model:
         self.languages, self.text, self.prior, self.declared, self.suffix = languages, text, prior, declared, suffix
 
 
-def fit(ev: DataFrame, *, most_languages: int = 64, most_suffixes: int = 4096, alpha: float = 0.5, declared_trust: float = 0.9) -> Model | None:
-    """Grouped counts over all rows: trigrams by declared language, and suffixes by declared language."""
-    tops = [r[0] for r in ev.where("declared is not null").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(most_languages).collect()]
+def fit(ev: DataFrame, *, most_languages: int = 64, least_rows: int = 5, most_suffixes: int = 4096, alpha: float = 0.5, declared_trust: float = 0.9) -> Model | None:
+    """Grouped counts over all rows: trigrams by declared language, and suffixes by declared language.
+
+    Languages that fewer than ``least_rows`` rows declare are not modelled: one wrong mark makes none."""
+    tops = [r[0] for r in ev.where("declared is not null").groupBy("declared").count().where(F.col("count") >= least_rows).orderBy(F.desc("count"), "declared").limit(most_languages).collect()]
     if not tops:
         return None
     languages = sorted(tops)
