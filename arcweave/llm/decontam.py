@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_rows, tidy
 from .tokens import text_batches
 
 _TERM = re.compile(r"[\W_]+")
@@ -182,6 +183,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     is leaked if ``overlap`` of its question's, or of all its, shingles lie near the passage.
     The index is broadcast; it holds test items only and its size is checked: an index over
     ``most_index_mb`` is refused, since test sets are far smaller than what they test."""
+    arrow_rows(docs.sparkSession)
     items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("long"), F.col(item_text_col).cast("string"))
     size = items.agg(F.sum(F.length(F.col(items.columns[1])).cast("long"))).first()[0] or 0
     if size * 8 > most_index_mb << 20:
@@ -199,7 +201,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
                 c = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), *(pa.array(x, pa.float64()) for x in c[2:]), pa.array([x >= overlap for x in c[4]], pa.bool_())], names=[x.split()[0] for x in schema.split(", ")])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), schema)
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **kw) -> DataFrame:

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_rows, tidy
+
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?:(?P<attrs>(?>[^\"'>]+|\"[^\"]*\"|'[^']*')*+)>|(?P<rest>[^>]*)>)",
     re.S,
@@ -379,6 +381,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
     A null or empty page, and one without content, has an empty text; null ids and urls and
     repeated rows keep their rows; the whole page is read, whatever its length."""
+    arrow_rows(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(field or default_field())
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
 
@@ -390,4 +393,4 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
                 texts = [main_text(h.as_py() or "", model) for h in part.column("html")]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_rows, tidy
 from .tokens import text_batches
 
 BUCKETS = 1 << 15
@@ -87,7 +88,7 @@ def fit(ev: DataFrame, *, most_languages: int = 64, least_rows: int = 5, most_su
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["at", "n"])
 
-    sums = ev.where("declared is not null").select("declared", "text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    sums = ev.where("declared is not null").select("declared", "text").mapInArrow(tidy(count), "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
     table = np.zeros(len(languages) * BUCKETS)
     found = sums.toPandas()  # at most languages x BUCKETS rows
     table[found["at"].to_numpy(np.int64)] = found["n"].to_numpy(float)
@@ -137,6 +138,7 @@ def identify(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     log-likelihood is tempered by ``text_weight``, as neighbouring trigrams are not independent.
     accepted: confidence >= least and the text holds a letter. Null text counts as empty;
     null declared, suffix or host adds no evidence; ids may repeat or be null."""
+    arrow_rows(rows.sparkSession)
     ev = evidence(rows, id_col=id_col, text_col=text_col, declared=declared, suffix=suffix, host_col=host_col)
     kind = dict(ev.dtypes)["id"]
     schema = f"id {kind}, lang string, confidence double, accepted boolean"
@@ -174,7 +176,7 @@ def identify(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             lang = [m.languages[j] if t else UNKNOWN for j, t in zip(score.argmax(1), told, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(lang, pa.string()), pa.array(np.where(told, confidence, 0.0)), pa.array((confidence >= least) & letters)], names=["id", "lang", "confidence", "accepted"])
 
-    return scored.mapInArrow(fuse, schema)
+    return scored.mapInArrow(tidy(fuse), schema)
 
 
 def _text_scores(ev: DataFrame, shared) -> DataFrame:
@@ -194,7 +196,7 @@ def _text_scores(ev: DataFrame, shared) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("declared"), batch.column("suffix"), batch.column("host"), pa.array(letters, pa.bool_()), pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel()), flat.shape[1]).cast(pa.list_(pa.float64()))], names=["id", "declared", "suffix", "host", "letters", "score"])
 
     kind = dict(ev.dtypes)["id"]
-    return ev.mapInArrow(run, f"id {kind}, declared string, suffix string, host string, letters boolean, score array<double>")
+    return ev.mapInArrow(tidy(run), f"id {kind}, declared string, suffix string, host string, letters boolean, score array<double>")
 
 
 def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", declared: str = "lang", host: str = "source", **kw) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import arrow_rows, materialize, tidy
 from .tokens import WORD_BPE, Encoder, text_batches
 
 END = (1).to_bytes(4, "little")
@@ -169,6 +169,7 @@ def _grouped(large, left, place, capacity, groups, total):
 def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = 4096) -> DataFrame:
     """Tokenize and cut. Columns doc_id, piece, start, length, ids_crc32, and part, rank: the
     partition and the rank among pieces of equal length in it. Fixed once materialized."""
+    arrow_rows(docs.sparkSession)
     path = path or public_tokenizers.path(WORD_BPE)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"]
@@ -191,7 +192,7 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], schema=schema)
 
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long")
+    return rows.mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long")
 
 
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = 4096) -> DataFrame:
@@ -223,4 +224,4 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pat
             column["offset"] = pa.array(by_rank["offset"][at])
             yield pa.RecordBatch.from_arrays([column[n] for n in names], names=names)
 
-    return cut.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return cut.mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

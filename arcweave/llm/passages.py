@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, finish, fresh, gram_hashes, materialize
+from .common import WordHash, arrow_rows, finish, fresh, gram_hashes, materialize, tidy
 from .setjoin import squeeze, unpack
 from .tokens import text_batches
 
@@ -156,8 +156,9 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sp
     A word goes if a window of ``span`` consecutive words that covers it also starts in a row
     with a smaller id. Null texts have no words. Null ids come after all others; rows of one
     id do not remove each other's words; equal rows give equal results."""
+    arrow_rows(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    survey = materialize(rows.mapInArrow(_survey(span), "id long, name long, n_words long, sha string, anchors array<long>"))
+    survey = materialize(rows.mapInArrow(tidy(_survey(span)), "id long, name long, n_words long, sha string, anchors array<long>"))
     # Of equal texts only the one with the least id is searched; the others lose every word.
     long_ones = survey.where(f"n_words >= {span}").select("id", "name", "anchors")
     first = long_ones.groupBy("name").agg(F.min("id").alias("first"))
@@ -165,11 +166,11 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sp
     shared = own.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
     hits = own.join(fresh(shared, "h"), "h").groupBy("id", "name").agg(F.collect_set("h").alias("hits"))
     packed = squeeze(rows.select("id", "text")).withColumnRenamed("doc_id", "id")
-    windows = packed.join(hits.hint("shuffle_hash"), "id").select("id", "z", "name", "hits").mapInArrow(_windows(span), "w long, id long, name long")
+    windows = packed.join(hits.hint("shuffle_hash"), "id").select("id", "z", "name", "hits").mapInArrow(tidy(_windows(span)), "w long, id long, name long")
     windows = materialize(windows)
     owner = windows.groupBy("w").agg(F.min("id").alias("owner"), F.max("id").alias("hi")).where("owner < hi").select("w", "owner")
     doomed = windows.join(fresh(owner, "w"), "w").where("owner < id").distinct().groupBy("id", "name").agg(F.collect_list("w").alias("w"), F.collect_list("owner").alias("owner"))
-    done = packed.join(doomed.hint("shuffle_hash"), "id").select("id", "z", "name", "w", "owner").mapInArrow(_remove(span), "id long, name long, n_removed long, sha string, kept string")
+    done = packed.join(doomed.hint("shuffle_hash"), "id").select("id", "z", "name", "w", "owner").mapInArrow(tidy(_remove(span)), "id long, name long, n_removed long, sha string, kept string")
     if not with_text:
         done = done.drop("kept")
     done = done.dropDuplicates(["id", "name"]).withColumnsRenamed({"id": "_id", "name": "_name", "sha": "_sha"})

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, WordHash, connected_components, finish, fresh, gram_hashes, materialize
+from .common import MIX, WordHash, arrow_rows, connected_components, finish, fresh, gram_hashes, materialize, tidy
 from .tokens import text_batches
 
 _SHORT = np.uint64(0x51ED270B2F3A9C4D)
@@ -258,7 +258,7 @@ def squeeze(docs: DataFrame) -> DataFrame:
         for ids, texts in text_batches(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([pack.compress(t.encode("utf-8", "replace")) for t in texts], pa.binary())], names=["doc_id", "z"])
 
-    return docs.mapInArrow(run, "doc_id long, z binary")
+    return docs.mapInArrow(tidy(run), "doc_id long, z binary")
 
 
 def _fetch(k: int):
@@ -288,12 +288,13 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     smallest doc_id reachable by links, itself included; rows without words (null text too)
     are alone. Repeated ids keep their rows; a null id gets the smallest id of its group,
     null if there is none. Equal sets have one name, so a copy costs one narrow row."""
+    arrow_rows(docs.sparkSession)
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    dealt = rows.mapInArrow(_deal(k, buckets), "batch long, bucket int, kind int, blob binary").repartition(buckets, "bucket")
-    counted = dealt.mapInArrow(_count, "batch long, kind int, blob binary").repartition(buckets, "batch")
-    posted = materialize(counted.mapInArrow(_post(percent), "doc_id long, name long, n long, list long"))
+    dealt = rows.mapInArrow(tidy(_deal(k, buckets)), "batch long, bucket int, kind int, blob binary").repartition(buckets, "bucket")
+    counted = dealt.mapInArrow(tidy(_count), "batch long, kind int, blob binary").repartition(buckets, "batch")
+    posted = materialize(counted.mapInArrow(tidy(_post(percent)), "doc_id long, name long, n long, list long"))
     members = posted.where("list is null").select("doc_id", "name", "n")
     # Star edges of the index lists: the candidate graph's components hold all links.
     lists = posted.where("list is not null").select("name", "list").distinct()
@@ -303,7 +304,7 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     named = members.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
     wanted = roots.join(sizes, "root").join(named, F.col("node") == F.col("name")).select("name", "root", "size", F.col("doc_id").alias("_id"))
     fetched = squeeze(rows).join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("z", "name", "root", "size")
-    sets = fetched.mapInArrow(_fetch(k), "name long, root long, size long, s binary")
+    sets = fetched.mapInArrow(tidy(_fetch(k)), "name long, root long, size long, s binary")
     # A component up to two blocks is one task's; a larger one is cut into blocks, and each pair of blocks is.
     blocks = f"if(size <= {2 * tile}, 1, greatest(least(cast(ceil(size / {tile}) as int), 40), cast(ceil(size / {32 * tile}) as int)))"
     sets = sets.selectExpr("name", "root", "s", f"{blocks} as blocks", f"cast(pmod(xxhash64(name), {blocks}) as int) as b")

@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_rows, tidy
+
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 #: Before a blank between two characters that are not white space.
@@ -48,7 +50,7 @@ def by_bytes(pieces: list[str], batch_bytes: int) -> Iterator[list[str]]:
 class Counter:
     """Token counts of texts under a byte-level BPE that keeps a blank with the word after it."""
 
-    def __init__(self, path: str, batch_bytes: int = 1 << 16, keep: int = 1_500_000):
+    def __init__(self, path: str, batch_bytes: int = 1 << 16, keep: int = 1_000_000):
         self.tokenizer, self.batch_bytes, self.keep = load(path), batch_bytes, keep
         self.after: dict[str, int] = {}  # counts of " " + word; such words have no white space at their ends
         self.whole: dict[str, int] = {}  # counts of pieces as they are
@@ -112,7 +114,7 @@ class Encoder:
     Arrow cuts the texts at ASCII white space and numbers the distinct words; only these are
     looked up, and only new ones encoded; ids are then gathered by position."""
 
-    def __init__(self, path: str, batch_bytes: int = 1 << 16, keep: int = 1_500_000):
+    def __init__(self, path: str, batch_bytes: int = 1 << 16, keep: int = 1_000_000):
         self.tokenizer, self.batch_bytes, self.keep = load(path), batch_bytes, keep
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -180,9 +182,9 @@ class Encoder:
 
 
 def text_batches(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[tuple[list, list[str]]]:
-    """(ids, texts) of columns 0 and 1 in runs of about ``most`` characters; a null text is empty."""
+    """(ids, texts) of columns 0 and 1 in runs of about ``most`` characters, over batches; a null text is empty."""
+    ids, texts, size = [], [], 0
     for batch in batches:
-        ids, texts, size = [], [], 0
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             t = t.as_py() or ""
             ids.append(i)
@@ -191,8 +193,8 @@ def text_batches(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iter
             if size >= most:
                 yield ids, texts
                 ids, texts, size = [], [], 0
-        if ids:
-            yield ids, texts
+    if ids:
+        yield ids, texts
 
 
 def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limit: int = 512) -> DataFrame:
@@ -200,6 +202,7 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     A null text counts as empty: 0 bytes, 0 tokens. Every row of the input gives one row,
     repeated and null ids too; other columns are not read. Lengths only leave Python."""
+    arrow_rows(docs.sparkSession)
     path = path or public_tokenizers.path(BYTE_BPE)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
@@ -210,4 +213,4 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             n = counter.counts(texts)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], schema=schema)
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import arrow_rows, materialize, tidy
 from .tokens import text_batches
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -76,7 +76,7 @@ def _mine(sample: DataFrame, *, least: int, lexicon: int, features: int) -> tupl
         names = list(pos.keys() | neg.keys())
         yield pa.RecordBatch.from_arrays([pa.array([*names, None], pa.string()), pa.array([*(pos[x] for x in names), total[1]], pa.int64()), pa.array([*(neg[x] for x in names), total[0]], pa.int64())], names=["name", "pos", "neg"])
 
-    counts = sample.select("label", "text").mapInArrow(run, "name string, pos long, neg long").groupBy("name").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = sample.select("label", "text").mapInArrow(tidy(run), "name string, pos long, neg long").groupBy("name").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     counts = materialize(counts.where(f"name is null or pos + neg >= {least}"))
     totals = counts.where("name is null").first()
     pos, neg = (totals["pos"] or 0, totals["neg"] or 0) if totals else (0, 0)
@@ -135,7 +135,7 @@ class LabelModel:
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["at", "x"])
 
         out = np.zeros((2, m + 1, m + 1))
-        for r in patterns.mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x")).collect():
+        for r in patterns.mapInArrow(tidy(run), "at long, x double").groupBy("at").agg(F.sum("x")).collect():
             out.ravel()[r[0]] = r[1]
         return out
 
@@ -185,6 +185,7 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     fitted; voters' statistics are over all training rows. Null texts count as empty, and get
     the score of a text without features; null ids are not held out. Without labels of both
     classes every score is the share of toxic labels (0 without labels)."""
+    arrow_rows(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     chosen = materialize(sample_labels(labels, id_col=label_id_col, label_col=label_col, most=most_labels).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("long").alias("label")))
@@ -196,9 +197,9 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     number = {x: i for i, x in enumerate(voters)}
     m = len(voters) + len(PATTERNS)
     fire = _firing(number)
-    patterns = texts.where(~held_out).select("doc_id", "text").mapInArrow(fire, "key long, fired array<int>").groupBy("fired").agg(F.count("*").alias("n"))
+    patterns = texts.where(~held_out).select("doc_id", "text").mapInArrow(tidy(fire), "key long, fired array<int>").groupBy("fired").agg(F.count("*").alias("n"))
     patterns = materialize(patterns)
-    voted = materialize(sample.select((F.col("doc_id") * 0 + F.col("label")).alias("key"), "text").mapInArrow(fire, "key long, fired array<int>").groupBy("key", "fired").agg(F.count("*").alias("n")))
+    voted = materialize(sample.select((F.col("doc_id") * 0 + F.col("label")).alias("key"), "text").mapInArrow(tidy(fire), "key long, fired array<int>").groupBy("key", "fired").agg(F.count("*").alias("n")))
     first = {(r[0], r[1]): r[2] for r in voted.select("key", F.explode("fired").alias("j"), "n").groupBy("key", "j").agg(F.sum("n")).collect()}
     a = np.clip([(first.get((1, j), 0) + 0.5) / (pos + 1) for j in range(m)], 1e-4, 1 - 1e-4)
     b = np.clip([(first.get((0, j), 0) + 0.05) / (neg + 1) for j in range(m)], 1e-6, 1 - 1e-4)
@@ -214,7 +215,7 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([pa.array([sorted(seen.of(t)) for t in texts_], pa.list_(pa.int32())), pa.array(p)], names=["features", "p"])
 
-    rows = [(r[0], r[1]) for r in sample.select("label", "text").mapInArrow(featured, "features array<int>, p double").collect()]  # bounded by most_labels
+    rows = [(r[0], r[1]) for r in sample.select("label", "text").mapInArrow(tidy(featured), "features array<int>, p double").collect()]  # bounded by most_labels
     rows.sort()
     weights, bias = _train(rows, len(names))
     shared = docs.sparkSession.sparkContext.broadcast((column, weights, bias))
@@ -227,5 +228,5 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(p)], names=["doc_id", "score"])
 
-    scored = texts.mapInArrow(apply, "doc_id long, score double")
+    scored = texts.mapInArrow(tidy(apply), "doc_id long, score double")
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
