@@ -46,11 +46,26 @@ def arrow_rows(spark: SparkSession, most: int = 1000) -> None:
         spark.conf.set(key, str(most))
 
 
-def tidy(fn):
-    """An Arrow function that gives its memory back when its task ends: workers are used again."""
+#: What a worker keeps from task to task of one kind of work, by name.
+KEPT: dict = {}
+
+
+def kept(name, make):
+    if name not in KEPT:
+        KEPT.clear()
+        KEPT[name] = make()
+    return KEPT[name]
+
+
+def tidy(fn, *, keep: bool = False):
+    """An Arrow function that gives its memory back when its task ends: workers are used again.
+
+    With ``keep`` what it has put into KEPT stays for the next task of its kind; any other kind drops it."""
 
     @functools.wraps(fn)
     def run(batches):
+        if not keep:
+            KEPT.clear()
         try:
             yield from fn(batches)
         finally:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialize, tidy
+from .common import arrow_rows, kept, materialize, tidy
 from .tokens import WORD_BPE, Encoder, text_batches
 
 END = (1).to_bytes(4, "little")
@@ -177,7 +177,7 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
     schema = pa.schema(list(zip(names, types, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seen = Encoder(path), TaskContext.get().partitionId(), {}
+        encoder, part, seen = kept(("encoder", path), lambda: Encoder(path)), TaskContext.get().partitionId(), {}
         for ids, texts in text_batches(batches, 8 << 20):
             out = [[] for _ in names]
             flat, bounds = encoder.encode(pa.array(texts, pa.string()))
@@ -192,7 +192,7 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], schema=schema)
 
-    return rows.mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long")
+    return rows.mapInArrow(tidy(run, keep=True), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long")
 
 
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = 4096) -> DataFrame:

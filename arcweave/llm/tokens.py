@@ -114,14 +114,11 @@ class Encoder:
     Arrow cuts the texts at ASCII white space and numbers the distinct words; only these are
     looked up, and only new ones encoded; ids are then gathered by position."""
 
-    def __init__(self, path: str, batch_bytes: int = 1 << 16, keep: int = 1_000_000):
+    def __init__(self, path: str, batch_bytes: int = 1 << 16, keep: int = 600_000):
         self.tokenizer, self.batch_bytes, self.keep = load(path), batch_bytes, keep
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self._reset()
-
-    def _reset(self) -> None:
         self.memo: dict[str, int] = {}  # numbers of words
         self.parts: dict[str, bytes] = {}  # ids of pre-tokens
         self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)  # by number, into the store
@@ -163,14 +160,15 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another (unsigned 32-bit), and where each text's begin and end."""
-        if len(self.memo) > self.keep:
-            self._reset()
         lists = pc.ascii_split_whitespace(texts)
         words = lists.flatten().dictionary_encode()
         distinct = words.dictionary.to_pylist()
         get = self.memo.get
         at = [get(w, -1) for w in distinct]
-        if new := [w for w, i in zip(distinct, at, strict=True) if i < 0]:
+        new = [w for w, i in zip(distinct, at, strict=True) if i < 0]
+        full = len(self.memo) >= self.keep  # then new words are for this batch only
+        before = len(self.first), len(self.store)
+        if new:
             self._add(new)
             at = [get(w) for w in distinct]
         number = np.array(at, np.int64)[words.indices.to_numpy(zero_copy_only=False)]
@@ -178,6 +176,12 @@ class Encoder:
         ends = np.cumsum(size)
         flat = self.store[np.repeat(self.first[number] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
         bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        if new and full:
+            for w in new:
+                del self.memo[w]
+            self.first, self.size, self.store = self.first[: before[0]], self.size[: before[0]], self.store[: before[1]]
+        if len(self.parts) > self.keep:
+            self.parts.clear()
         return flat, bounds
 
 
