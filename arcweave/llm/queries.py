@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .oracle import ORACLE_SQL  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -91,5 +93,3 @@ QUERIES = {
     f.__name__: f
     for f in (op1_token_counts, op2_language_id, op3_toxicity, op4_decontamination, op5_secret_scan, op6_html_extraction, op7_ngram_jaccard_join, op8_exact_topk, op9_substring_dedup, op10_best_fit_packing, pipeline)
 } | {"pages_language_id": op2_pages_language_id}
-
-ORACLE_SQL: dict[str, str] = {}
