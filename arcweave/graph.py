@@ -87,7 +87,7 @@ class Graph:
         pair = ["src", "dst"] if directed else [F.least("src", "dst"), F.greatest("src", "dst")]
         e = e.withColumn("r", F.row_number().over(Window.partitionBy(*pair).orderBy(F.desc("pos")))).where("r = 1")
         if not directed:
-            e = e.unionByName(e.where("src <> dst").withColumnsRenamed({"src": "dst", "dst": "src"}))
+            e = e.select("src", "dst", "weight").unionByName(e.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
         n = order if order is not None else ((e.agg(F.max(F.greatest("src", "dst"))).first()[0] or -1) + 1)
         return Graph.from_tables(edges.sparkSession.range(n).withColumnRenamed("id", "vid"), e, directed=directed, loops=loops, threshold=threshold)
 

@@ -110,7 +110,7 @@ def bipartite(table: DataFrame, rows: int, *, row: str = "row", col: str = "col"
     """A rectangular r x c table of (row, col, value) as a square graph of r + c vertices, both arcs present."""
     cols = cols if cols is not None else (table.agg(F.max(col)).first()[0] or -1) + 1
     e = table.select(F.col(row).cast("long").alias("src"), (F.col(col) + rows).cast("long").alias("dst"), F.col(value).cast("double").alias("weight"))
-    e = e.unionByName(e.withColumnsRenamed({"src": "dst", "dst": "src"}))
+    e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     v = table.sparkSession.range(rows + cols).select(F.col("id").alias("vid"), (F.col("id") >= rows).cast("int").alias("part"))
     return Graph.from_tables(v, e, directed=False)
 

@@ -26,7 +26,7 @@ def uniform(seed: int, *keys: str):
 def _grid(spark: SparkSession, n: int, graphs: int, directed: bool, loops: bool) -> tuple[DataFrame, DataFrame]:
     """Vertices, and the cells that are drawn: ordered pairs, or src > dst when undirected."""
     v = spark.range(graphs).select(F.col("id").alias("graph_id")).crossJoin(spark.range(n).select(F.col("id").alias("vid")))
-    c = spark.range(graphs * n).select(F.expr(f"id div {n}").alias("graph_id"), F.expr(f"id mod {n}").alias("src")).select("graph_id", "src", F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))).cast("long").alias("dst"))
+    c = spark.range(graphs * n).select(F.expr(f"id div {n}").alias("graph_id"), F.expr(f"id % {n}").alias("src")).select("graph_id", "src", F.explode(F.expr(f"sequence(0L, {max(0, n - 1)}L)")).alias("dst"))
     keep = F.lit(True) if directed else F.col("src") >= F.col("dst")
     if not loops:
         keep = keep & (F.col("src") != F.col("dst"))
@@ -162,7 +162,7 @@ def rgws(spark: SparkSession, nv: int, dim: int, z: int, p: float, graphs: int =
     """A lattice of nv^dim vertices, tied within Manhattan distance z, rewired with probability p."""
     n = nv**dim
     v, c = _grid(spark, n, graphs, False, False)
-    coordinate = lambda x, k: F.expr(f"({x} div {nv**k}) mod {nv}")
+    coordinate = lambda x, k: F.expr(f"({x} div {nv**k}) % {nv}")
     apart = sum((F.abs(coordinate("src", k) - coordinate("dst", k)) for k in range(dim)), F.lit(0))
     lattice = _finish(v, c.where(apart <= z), False, False)
     return rewire_ws(lattice, p, seed=seed) if p else lattice

@@ -151,7 +151,7 @@ def _network_regression(y: Graph, x: Graph, *, fit: Callable, intercept: bool, n
         for p in parts:
             yield pd.DataFrame({"k": p["k"], "rep": p["rep"], "value": [one(int(k), int(i)) for k, i in zip(p["k"], p["rep"], strict=True)]})
 
-    rows = spark.range(0, len(targets) * reps, 1, max(1, min(reps, spark.sparkContext.defaultParallelism * 2))).selectExpr(f"element_at(array({','.join(map(str, targets))}), cast(id div {reps} as int) + 1) as k", f"id mod {reps} as rep")
+    rows = spark.range(0, len(targets) * reps, 1, max(1, min(reps, spark.sparkContext.defaultParallelism * 2))).selectExpr(f"element_at(array({','.join(map(str, targets))}), cast(id div {reps} as int) + 1) as k", f"id % {reps} as rep")
     null = rows.mapInPandas(run, "k int, rep long, value array<double>").toPandas()
     values = {k: np.array(v["value"].tolist(), float) for k, v in null.groupby("k")}
     le, ge, two = np.full(len(b), np.nan), np.full(len(b), np.nan), np.full(len(b), np.nan)
@@ -422,10 +422,14 @@ def nelder_mead(f: Callable, x0: np.ndarray, *, step: float = 0.1, tol: float =
     return s[i], v[i]
 
 
-def _hessian(f: Callable, x: np.ndarray, h: float = 1e-4) -> np.ndarray:
+def _hessian(f: Callable, x: np.ndarray, relative: float = 1e-3) -> np.ndarray:
+    """Second differences, with steps in proportion to the parameters."""
     n = len(x)
-    e = np.eye(n) * h
-    return np.array([[(f(x + e[i] + e[j]) - f(x + e[i] - e[j]) - f(x - e[i] + e[j]) + f(x - e[i] - e[j])) / (4 * h * h) for j in range(n)] for i in range(n)])
+    h = relative * np.maximum(np.abs(x), 1e-3)
+    if len(x):
+        h[-1] = relative * abs(x[-1])  # a variance: stays positive
+    e = np.diag(h)
+    return np.array([[(f(x + e[i] + e[j]) - f(x + e[i] - e[j]) - f(x - e[i] + e[j]) + f(x - e[i] - e[j])) / (4 * h[i] * h[j]) for j in range(n)] for i in range(n)])
 
 
 @dataclass

@@ -44,10 +44,10 @@ def parse_nos(spark: SparkSession, text: str) -> Graph:
     m = int(lines[0].split()[0])
     rows, cols = (int(x) for x in lines[1].split()[:2])
     numbers = spark.createDataFrame([(" ".join(lines[3:]),)], "t string").select(F.posexplode(F.split(F.trim("t"), r"\s+")).alias("pos", "x"))
-    e = numbers.selectExpr(f"pos div {rows * cols} as graph_id", f"pos mod {rows * cols} div {cols} as src", f"pos mod {cols} as dst", "x")
+    e = numbers.selectExpr(f"pos div {rows * cols} as graph_id", f"pos % {rows * cols} div {cols} as src", f"pos % {cols} as dst", "x")
     value = F.when(F.upper("x").isin("NA", "NAN"), math.nan).otherwise(F.col("x").try_cast("double") if hasattr(F.col("x"), "try_cast") else F.col("x").cast("double"))
     n = max(rows, cols)
-    v = spark.range(m).select(F.col("id").alias("graph_id"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long").alias("vid"))
+    v = spark.range(m).select(F.col("id").alias("graph_id"), F.explode(F.expr(f"sequence(0L, {n - 1}L)")).alias("vid"))
     return Graph.from_tables(v, e.select("graph_id", "src", "dst", value.alias("weight")).where("weight <> 0 or isnan(weight)"), loops=True)
 
 
