@@ -32,20 +32,21 @@ _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 #: What an opening tag closes, if it is open above the nearest of the containers.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head", "title"}}
 _CONTAINERS = {"ul", "ol", "dl", "table", "html"}
+_SECTIONS = {"article", "main", "section", "aside", "nav", "header", "footer", "form", "head", "body"}
 
 
 class Block:
-    __slots__ = ("text", "tag", "above", "names", "linked")
+    __slots__ = ("text", "tag", "above", "names", "home", "linked")
 
-    def __init__(self, text, tag, above, names, linked):
-        self.text, self.tag, self.above, self.names, self.linked = text, tag, above, names, linked
+    def __init__(self, text, tag, above, names, home, linked):
+        self.text, self.tag, self.above, self.names, self.home, self.linked = text, tag, above, names, home, linked
 
 
 def blocks(html: str) -> list[Block]:
     """Leaf blocks in page order. Scripts, styles and comments have no text; white space in a
     block is one blank; character references are decoded; never fails on broken markup."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset, frozenset]] = []
+    stack: list[tuple[str, frozenset, frozenset, str]] = []
     pieces: list[str] = []
     linked, anchors, at = 0, 0, 0
 
@@ -54,8 +55,7 @@ def blocks(html: str) -> list[Block]:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                tag, above, names = stack[-1] if stack else ("", frozenset(), frozenset())
-                out.append(Block(text, tag, above, names, linked))
+                out.append(Block(text, *(stack[-1] if stack else _NOWHERE), linked))
             pieces.clear()
         linked = 0
 
@@ -104,17 +104,20 @@ def blocks(html: str) -> list[Block]:
             elif stack and stack[-1][0] in ("p", "title", "h1", "h2", "h3", "h4", "h5", "h6"):
                 stack.pop()
             attrs = m["attrs"] if m["attrs"] is not None else m["rest"]
-            _, above, names = stack[-1] if stack else ("", frozenset(), frozenset())
+            _, above, names, home = stack[-1] if stack else _NOWHERE
             if attrs:
                 words = {w.lower() for a in _ATTR.finditer(attrs) for w in _WORD.findall(a[2] or a[3] or a[4] or "")}
                 if words:
                     names = names | words
-            stack.append((tag, above | {tag}, names))
+            stack.append((tag, above | {tag}, names, tag if tag in _SECTIONS else home))
     add(html[at:])
     flush()
     return out
 
 
+_NOWHERE = ("", frozenset(), frozenset(), "")
+
+
 def _bin(x: float, cuts: tuple) -> int:
     return sum(x >= c for c in cuts)
 
@@ -134,6 +137,7 @@ def features(page: list[Block]) -> list[list[str]]:
             f.append("copyright")
         if b.text[-1] in ".!?…\"”":
             f.append("ends")
+        f.append(f"home={b.home},{'named' if b.names else 'plain'}")
         f.append(f"tag,size={b.tag},{_bin(size, (4, 16))}")
         out.append(f)
     return out
