@@ -15,16 +15,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialize, tidy
+from .common import arrow_rows, kept, materialize, tidy
 from .tokens import text_batches
 
 _LETTERS = re.compile(r"[^\W\d_]+")
+_CAPITALS = bytes(range(65, 91))
 #: Voters on a text's form: name and test.
 PATTERNS = (
-    ("shouting", lambda t: len(t) >= 40 and sum(map(str.isupper, t)) > 0.5 * len(t)),
+    ("shouting", lambda t: len(t) >= 40 and len(b := t.encode("utf-8", "replace")) - len(b.translate(None, _CAPITALS)) > 0.5 * len(t)),
     ("exclaims", lambda t: t.count("!") > 0.01 * len(t) + 2),
     ("symbols", lambda t: sum(map(t.count, "%$&#*")) > 0.1 * len(t) + 2),
 )
@@ -33,16 +35,27 @@ PATTERNS = (
 class Features(dict):
     """The names of a raw word's features: its letter runs, and their beginnings of 4, 5 and 6 letters."""
 
-    def __init__(self, only: dict[str, int] | None = None, keep: int = 1_000_000):
+    def __init__(self, only: dict[str, int] | None = None, keep: int = 600_000):
         super().__init__()
         self.only, self.keep = only, keep
+        starts = {k: {x[:-1]: i for x, i in (only or {}).items() if x.endswith("*") and len(x) == k + 1} for k in (4, 5, 6)}
+        self.starts = [(k, v) for k, v in starts.items() if v]
 
     def __missing__(self, word: str) -> tuple:
-        names: list = []
-        for run in _LETTERS.findall(word.lower()):
-            names.append(run)
-            names += [run[:k] + "*" for k in (4, 5, 6) if len(run) >= k]
-        value = tuple(dict.fromkeys(names)) if self.only is None else tuple(self.only[x] for x in dict.fromkeys(names) if x in self.only)
+        found: list = []
+        if self.only is None:
+            for run in _LETTERS.findall(word.lower()):
+                found.append(run)
+                found += [run[:k] + "*" for k in (4, 5, 6) if len(run) >= k]
+        else:
+            low = word.lower()
+            for run in (low,) if low.isalpha() else _LETTERS.findall(low):
+                if run in self.only:
+                    found.append(self.only[run])
+                for k, names in self.starts:
+                    if (start := run[:k]) in names and len(start) == k:
+                        found.append(names[start])
+        value = tuple(dict.fromkeys(found)) if found else ()
         if len(self) < self.keep:
             self[word] = value
         return value
@@ -54,6 +67,21 @@ class Features(dict):
                 found.update(value)
         return found
 
+    def of_all(self, texts: list[str]) -> list[set]:
+        """``of`` for many texts: Arrow numbers the distinct words, and only those with features are
+        traced back to texts. Features are of letter runs, so any split at white space serves."""
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        words = lists.flatten().dictionary_encode()
+        values = [self[w] for w in words.dictionary.to_pylist()]
+        number = words.indices.to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(np.fromiter(map(bool, values), bool, len(values))[number]) if len(number) else np.empty(0, np.int64)
+        text = np.searchsorted(lists.offsets.to_numpy() - lists.offsets[0].as_py(), at, "right") - 1
+        found: list[set] = [set() for _ in texts]
+        for pair in np.unique(text * len(values) + number[at]).tolist() if len(at) else ():
+            i, w = divmod(pair, len(values))
+            found[i].update(values[w])
+        return found
+
 
 def sample_labels(labels: DataFrame, *, id_col: str, label_col: str, most: int) -> DataFrame:
     """At most ``most`` labelled rows of the training folds, by a hash of the id; an id with
@@ -94,9 +122,9 @@ def _firing(only: dict[str, int]):
     first = len(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Features(only)
+        seen = kept(("features", hash(frozenset(only.items()))), lambda: Features(only))
         for keys, texts in text_batches(batches):
-            fired = [sorted(seen.of(t) | {first + i for i, (_, test) in enumerate(PATTERNS) if test(t)}) for t in texts]
+            fired = [sorted(f | {first + i for i, (_, test) in enumerate(PATTERNS) if test(t)}) for t, f in zip(texts, seen.of_all(texts), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(fired, pa.list_(pa.int32()))], names=["key", "fired"])
 
     return run
@@ -197,9 +225,9 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     number = {x: i for i, x in enumerate(voters)}
     m = len(voters) + len(PATTERNS)
     fire = _firing(number)
-    patterns = texts.where(~held_out).select("doc_id", "text").mapInArrow(tidy(fire), "key long, fired array<int>").groupBy("fired").agg(F.count("*").alias("n"))
+    patterns = texts.where(~held_out).select("doc_id", "text").mapInArrow(tidy(fire, keep=True), "key long, fired array<int>").groupBy("fired").agg(F.count("*").alias("n"))
     patterns = materialize(patterns)
-    voted = materialize(sample.select((F.col("doc_id") * 0 + F.col("label")).alias("key"), "text").mapInArrow(tidy(fire), "key long, fired array<int>").groupBy("key", "fired").agg(F.count("*").alias("n")))
+    voted = materialize(sample.select((F.col("doc_id") * 0 + F.col("label")).alias("key"), "text").mapInArrow(tidy(fire, keep=True), "key long, fired array<int>").groupBy("key", "fired").agg(F.count("*").alias("n")))
     first = {(r[0], r[1]): r[2] for r in voted.select("key", F.explode("fired").alias("j"), "n").groupBy("key", "j").agg(F.sum("n")).collect()}
     a = np.clip([(first.get((1, j), 0) + 0.5) / (pos + 1) for j in range(m)], 1e-4, 1 - 1e-4)
     b = np.clip([(first.get((0, j), 0) + 0.05) / (neg + 1) for j in range(m)], 1e-6, 1 - 1e-4)
@@ -210,10 +238,10 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, votes = Features(column), Features(number)
         for labels_, texts_ in text_batches(batches):
-            fired = [sorted(votes.of(t) | {len(number) + i for i, (_, test) in enumerate(PATTERNS) if test(t)}) for t in texts_]
+            fired = [sorted(f | {len(number) + i for i, (_, test) in enumerate(PATTERNS) if test(t)}) for t, f in zip(texts_, votes.of_all(texts_), strict=True)]
             z = model.log_odds(fired) + trust * (2 * np.array(labels_) - 1)
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(seen.of(t)) for t in texts_], pa.list_(pa.int32())), pa.array(p)], names=["features", "p"])
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(f) for f in seen.of_all(texts_)], pa.list_(pa.int32())), pa.array(p)], names=["features", "p"])
 
     rows = [(r[0], r[1]) for r in sample.select("label", "text").mapInArrow(tidy(featured), "features array<int>, p double").collect()]  # bounded by most_labels
     rows.sort()
@@ -222,11 +250,11 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column_, w, b0 = shared.value
-        seen = Features(column_)
+        seen = kept(("features", hash(frozenset(column_.items()))), lambda: Features(column_))
         for ids, texts_ in text_batches(batches):
-            z = np.array([b0 + w[sorted(seen.of(t))].sum() if t else b0 for t in texts_], float)
+            z = np.array([b0 + w[sorted(f)].sum() for f in seen.of_all(texts_)], float)
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(p)], names=["doc_id", "score"])
 
-    scored = texts.mapInArrow(tidy(apply), "doc_id long, score double")
+    scored = texts.mapInArrow(tidy(apply, keep=True), "doc_id long, score double")
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
