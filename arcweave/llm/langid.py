@@ -79,7 +79,7 @@ def fit(ev: DataFrame, *, most_languages: int = 64, least_rows: int = 5, most_su
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), BUCKETS), np.int64)
-        for lang, texts in text_batches(batches):
+        for lang, texts in text_batches(batches, 1 << 20):
             code, starts = grams(texts)
             sizes = np.diff(np.append(starts, len(code) + 2))
             which = np.repeat(np.array([index.get(x, -1) for x in lang]), sizes)[: len(code)]
@@ -187,7 +187,7 @@ def _text_scores(ev: DataFrame, shared) -> DataFrame:
         for batch in batches:
             keys = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column("text")], names=["i", "text"])
             scores, letters = [], []
-            for _, texts in text_batches(iter([keys])):
+            for _, texts in text_batches(iter([keys]), 1 << 20):
                 code, starts = grams(texts)
                 scores.append(np.stack([np.add.reduceat(np.append(row[code], [0.0, 0.0]), starts) for row in table], 1))
                 letters += [any(map(str.isalpha, t)) for t in texts]

@@ -178,7 +178,7 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seen = kept(("encoder", path), lambda: Encoder(path)), TaskContext.get().partitionId(), {}
-        for ids, texts in text_batches(batches, 8 << 20):
+        for ids, texts in text_batches(batches, 4 << 20):
             out = [[] for _ in names]
             flat, bounds = encoder.encode(pa.array(texts, pa.string()))
             whole = flat.astype("<u4").tobytes()

@@ -49,7 +49,7 @@ def _survey(span: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
-        for ids, texts in text_batches(batches):
+        for ids, texts in text_batches(batches, 1 << 20):
             words = [t.encode("utf-8", "replace").split() for t in texts]
             hashed = [known.of(w) for w in words]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([text_name(h) for h in hashed], pa.int64()), pa.array([len(w) for w in words], pa.int64()), pa.array([_sha(w) for w in words]), pa.array([np.unique(anchors(h, span)).view(np.int64) for h in hashed], pa.list_(pa.int64()))], names=names)

@@ -57,7 +57,7 @@ def size_bounds(percent: int, most: int = 1 << 40) -> np.ndarray:
     return np.array(bounds)
 
 
-def _deal(k: int, buckets: int, batch_docs: int = 4096):
+def _deal(k: int, buckets: int, batch_docs: int = 4096, batch_shingles: int = 500_000):
     """Source rows to packed rows for the frequency count: per batch of documents one header
     (kind 0: ids, set names, sizes) and, per bucket of the shingle space, 40 bits of each
     shingle and the document's number in the batch (kind 1)."""
@@ -85,12 +85,12 @@ def _deal(k: int, buckets: int, batch_docs: int = 4096):
                 blob.append(doc[at].tobytes() + np.ascontiguousarray(low[at]).tobytes())
             return pa.RecordBatch.from_arrays([pa.array([key] * len(kind), pa.int64()), pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], names=["batch", "bucket", "kind", "blob"])
 
-        for some, texts in text_batches(batches):
+        for some, texts in text_batches(batches, 1 << 20):
             for i, s in zip(some, _sets(texts, k, words), strict=True):
                 ids.append(i)
                 sets.append(s)
                 held += len(s)
-                if len(ids) >= batch_docs or held >= 2_000_000:
+                if len(ids) >= batch_docs or held >= batch_shingles:
                     key += 1
                     yield flush()
                     ids, sets, held = [], [], 0
@@ -117,15 +117,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 low = np.zeros((n, 8), np.uint8)
                 low[:, :5] = np.frombuffer(blob[i], np.uint8, offset=2 * n).reshape(n, 5)
                 where.append((key[i], n))
-                docs.append(np.frombuffer(blob[i], np.uint16, n))
+                docs.append(np.frombuffer(blob[i], np.uint16, n).copy())
                 tokens.append(low.view(np.int64).ravel() | bucket[i] << 40)
     if not where:
         return
     flat = np.concatenate(tokens)
-    del tokens
-    _, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    df = counts[inverse].astype(np.uint32)
-    del inverse, counts
+    tokens.clear()
+    order = np.argsort(flat)
+    first = np.flatnonzero(np.diff(flat[order], prepend=-1))
+    counts = np.diff(first, append=len(flat))
+    df = np.empty(len(flat), np.uint32)
+    df[order] = np.repeat(counts, counts)
+    del order, first, counts
     at = 0
     for (key, n), doc in zip(where, docs, strict=True):
         keep = df[at : at + n] > 1
@@ -255,7 +258,7 @@ def squeeze(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
-        for ids, texts in text_batches(batches):
+        for ids, texts in text_batches(batches, 1 << 20):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([pack.compress(t.encode("utf-8", "replace")) for t in texts], pa.binary())], names=["doc_id", "z"])
 
     return docs.mapInArrow(tidy(run), "doc_id long, z binary")

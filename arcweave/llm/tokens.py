@@ -114,7 +114,7 @@ class Encoder:
     Arrow cuts the texts at ASCII white space and numbers the distinct words; only these are
     looked up, and only new ones encoded; ids are then gathered by position."""
 
-    def __init__(self, path: str, batch_bytes: int = 1 << 16, keep: int = 600_000):
+    def __init__(self, path: str, batch_bytes: int = 1 << 16, keep: int = 350_000):
         self.tokenizer, self.batch_bytes, self.keep = load(path), batch_bytes, keep
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
