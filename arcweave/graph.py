@@ -206,6 +206,18 @@ class Local:
         return np.where(self.na, np.nan, self.w)
 
 
+def number_matrix(rows: int, cols: int, fill: float = 0.0) -> np.ndarray:
+    return np.full((rows, cols), float(fill))
+
+
+def nested_matrix(values, rows: int, cols: int) -> list[list[float]]:
+    """A flat row-major vector as nested rows; its length must fit."""
+    v = np.asarray(values, float)
+    if v.size != rows * cols:
+        raise ValueError(f"{v.size} values do not fill {rows} x {cols}")
+    return v.reshape(rows, cols).tolist()
+
+
 def is_graph(x) -> bool:
     return isinstance(x, Graph)
 

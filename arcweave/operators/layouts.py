@@ -138,3 +138,40 @@ def plot_sociomatrix(g: Graph) -> DataFrame:
     from .prep import as_sociomatrix_sna
 
     return as_sociomatrix_sna(g).select(F.col("src").alias("row"), F.col("dst").alias("col"), F.col("weight").alias("value"))
+
+
+def gplot_vertex(g: Graph, mode: str = "fruchtermanreingold", **kw) -> DataFrame:
+    """vid and position of each vertex."""
+    return gplot(g, mode, **kw)["nodes"]
+
+
+def gplot_arrow(g: Graph, mode: str = "fruchtermanreingold", **kw) -> DataFrame:
+    """Each tie but loops, from end to end, with whether it is answered (drawn curved)."""
+    e = gplot(g, mode, **kw)["segments"].where("src <> dst")
+    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(True).alias("answered"))
+    return e.join(back, ["src", "dst"], "left").withColumn("answered", F.coalesce("answered", F.lit(False)))
+
+
+def gplot_loop(g: Graph, mode: str = "fruchtermanreingold", **kw) -> DataFrame:
+    """Loops with the position of their vertex."""
+    return gplot(g, mode, **kw)["segments"].where("src = dst").select(F.col("src").alias("vid"), "weight", F.col("x1").alias("x"), F.col("y1").alias("y"))
+
+
+def gplot_target(g: Graph, scores: DataFrame, **kw) -> DataFrame:
+    """Positions on circles by score (vid, value)."""
+    return target(g, scores, **kw)
+
+
+def gplot3d(g: Graph, mode: str = "fruchtermanreingold", **kw) -> dict[str, DataFrame]:
+    """nodes (vid, x, y, z) and segments with both ends."""
+    p = layout(g, mode, dim=3, **kw)
+    ends = lambda v, k: p.select(F.col("vid").alias(v), *[F.col(c).alias(f"{c}{k}") for c in "xyz"])
+    return {"nodes": p, "segments": g.ties.join(ends("src", 1), "src").join(ends("dst", 2), "dst").drop("graph_id")}
+
+
+def gplot3d_arrow(g: Graph, mode: str = "fruchtermanreingold", **kw) -> DataFrame:
+    return gplot3d(g, mode, **kw)["segments"].where("src <> dst")
+
+
+def gplot3d_loop(g: Graph, mode: str = "fruchtermanreingold", **kw) -> DataFrame:
+    return gplot3d(g, mode, **kw)["segments"].where("src = dst").select(F.col("src").alias("vid"), "weight", F.col("x1").alias("x"), F.col("y1").alias("y"), F.col("z1").alias("z"))

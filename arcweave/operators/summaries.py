@@ -255,6 +255,15 @@ def summary_bbnam_fixed(posterior: DataFrame) -> DataFrame:
     return quantile_summary(posterior, "posterior")
 
 
+def print_bbnam_fixed(posterior: DataFrame) -> str:
+    return "Bayesian network accuracy, fixed error model\n" + summary_bbnam_fixed(posterior).toPandas().to_string(index=False)
+
+
+def plot_bbnam_fixed(posterior: DataFrame, bins: int = 20) -> DataFrame:
+    """bin, count of the posterior tie probabilities."""
+    return posterior.groupBy(F.least(F.floor(F.col("posterior") * bins), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("count"))
+
+
 def summary_bayes_factor(b: dict) -> dict:
     return {"log_marginal": dict(zip(b["models"], b["log_marginal"], strict=True)), "log_bf": b["log_bf"], "best": b["models"][int(np.argmax(b["log_marginal"]))], "reps": b["reps"]}
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 import uuid
 from collections.abc import Callable
@@ -43,10 +44,31 @@ ALIASES = {
     "plotCugTest": "operators.summaries.plot_null_test",
     **{f"{a}{b}": f"operators.summaries.{c}_fit" for b in ("Netlm", "Netlogit", "Pstar") for a, c in (("summary", "summary"), ("print", "print"), ("printSummary", "print_summary"))},
     **{f"{a}Bbnam{b}": f"operators.summaries.{c}_bbnam" for b in ("", "Pooled", "Actor") for a, c in (("summary", "summary"), ("print", "print"), ("printSummary", "print_summary"), ("plot", "plot"))},
+    **{f"{a}BbnamFixed": f"operators.summaries.{c}_bbnam_fixed" for a, c in (("print", "print"), ("printSummary", "print"), ("plot", "plot"))},
+    "createNumberMatrix": "graph.number_matrix",
+    "toNestedMatrix": "graph.nested_matrix",
     "summaryBbnamFixed": "operators.summaries.summary_bbnam_fixed",
 }
 
 
+#: The parts of a drawing: tables of vertices, segments, loops and whole pictures in two or three dimensions.
+DRAWING = {
+    "gplotVertex": "gplot_vertex", "gplotArrow": "gplot_arrow", "gplotLoop": "gplot_loop", "gplotTarget": "gplot_target",
+    "gplot3d": "gplot3d", "gplot3dArrow": "gplot3d_arrow", "gplot3dLoop": "gplot3d_loop",
+}
+
+
+def _layout(name: str) -> Callable | None:
+    """gplotLayout<Mode> and gplot3dLayout<Mode>."""
+    from ..operators import layouts
+
+    for prefix, dim in (("gplotLayout", 2), ("gplot3dLayout", 3)):
+        mode = name.removeprefix(prefix).lower()
+        if name.startswith(prefix) and mode in layouts.MODES:
+            return functools.partial(layouts.layout, mode=mode, **({"dim": dim} if dim == 3 else {}))
+    return None
+
+
 def _snake(name: str) -> str:
     return "".join("_" + c.lower() if c.isupper() else c for c in name).lstrip("_")
 
@@ -59,10 +81,16 @@ def find(name: str) -> Callable:
         for part in rest:
             out = getattr(out, part)
         return out
+    if name in DRAWING:
+        return getattr(importlib.import_module("arcweave.operators.layouts"), DRAWING[name])
+    if name in TASKS:
+        return TASKS[name]
+    if found := _layout(name):
+        return found
     for module in MODULES:
         m = importlib.import_module(f"arcweave.{module}")
         for form in (name, _snake(name)):
-            if callable(getattr(m, form, None)):
+            if callable(getattr(m, form, None)) or form.isupper() and hasattr(m, form):
                 return getattr(m, form)
     raise KeyError(f"no operator named {name}")
 
@@ -107,3 +135,7 @@ class TaskClient:
             if not f.done():
                 self.cancel(f)
         self.pool.shutdown(wait=False, cancel_futures=True)
+
+
+#: The execution surface by the names that callers know.
+TASKS = {"executeSnaTask": execute_task, "SnaWorkerClient": TaskClient, "createSnaWorker": TaskClient}

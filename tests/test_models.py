@@ -252,6 +252,10 @@ def test_registry(spark):
     g = Graph.from_matrix(spark, random_matrix(1, 6, 0.5).tolist())
     for name in ("degree", "gden", "triadCensus", "geodist", "betweenness", "componentDist", "kcores", "qaptest", "cugTest", "netlm", "bnDyadStats", "equivClust", "rgws", "rewireUd", "labOptimizeMc", "makeStochastic", "interval_graph", "readDot", "writeDl", "logSum", "summaryQaptest", "printNetlm", "gplotLayout", "hasTie", "makeDenseGraph", "bbnamBf"):
         assert callable(registry.find(name)), name
+    assert len(registry.find("gplot3dLayoutMds")(g).columns) == 4 and registry.find("gplotLayoutCircle")(g).count() == 6
+    assert registry.find("gplotArrow")(g, "circle").count() == len(cells(g)) and registry.find("gplotLoop")(g, "circle").count() == 0
+    assert registry.find("gplot3d")(g, "random")["segments"].count() == len(cells(g))
+    assert registry.find("toNestedMatrix")([1, 2, 3, 4], 2, 2) == [[1, 2], [3, 4]] and registry.find("DIRECTED_TRIAD_CLASSES")[0] == "003"
     with pytest.raises(KeyError):
         registry.find("nope")
     client = registry.TaskClient(spark)
