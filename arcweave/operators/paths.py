@@ -20,7 +20,7 @@ from ..kernels import CSR, accumulate, paths_from
 
 BLOCK = 32
 #: Ties a broadcast adjacency may have (16 bytes each).
-MOST_TIES = 50_000_000
+MOST_TIES = 5_000_000
 
 
 def _adjacency(g: Graph, ignore_eval: bool) -> dict[int, tuple[np.ndarray, CSR]]:
