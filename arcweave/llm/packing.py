@@ -166,7 +166,7 @@ def _grouped(large, left, place, capacity, groups, total):
     return classes, total
 
 
-def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = 4096) -> DataFrame:
+def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = 4096, keep_words: int = 600_000, batch_chars: int = 8 << 20) -> DataFrame:
     """Tokenize and cut. Columns doc_id, piece, start, length, ids_crc32, and part, rank: the
     partition and the rank among pieces of equal length in it. Fixed once materialized."""
     arrow_rows(docs.sparkSession)
@@ -177,8 +177,8 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
     schema = pa.schema(list(zip(names, types, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seen = kept(("encoder", path), lambda: Encoder(path)), TaskContext.get().partitionId(), {}
-        for ids, texts in text_batches(batches, 4 << 20):
+        encoder, part, seen = kept(("encoder", path, keep_words), lambda: Encoder(path, keep=keep_words)), TaskContext.get().partitionId(), {}
+        for ids, texts in text_batches(batches, batch_chars):
             out = [[] for _ in names]
             flat, bounds = encoder.encode(pa.array(texts, pa.string()))
             whole = flat.astype("<u4").tobytes()
@@ -195,13 +195,13 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
     return rows.mapInArrow(tidy(run, keep=True), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long")
 
 
-def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = 4096, **memory: int) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is one piece holding only the end id; texts longer than the
     capacity are cut, nothing else is; repeated rows are packed each; other columns are
-    not read. An empty table gives an empty result."""
-    cut = materialize(pieces(docs, id_col=id_col, text_col=text_col, path=path, capacity=capacity))
+    not read. An empty table gives an empty result. ``memory``: keep_words, batch_chars of a worker."""
+    cut = materialize(pieces(docs, id_col=id_col, text_col=text_col, path=path, capacity=capacity, **memory))
     # Per partition and length: how many there are, and how many in the partitions before.
     per = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
     histogram = {r[0]: r[1] for r in per.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows

@@ -38,7 +38,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents that are left, and their places in sequences of 4096 tokens."""
-    return packing.pack(docs)
+    # Workers come from other stages: they keep less here than where packing runs alone.
+    return packing.pack(docs, keep_words=350_000, batch_chars=4 << 20)
 
 
 STAGES = [
