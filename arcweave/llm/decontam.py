@@ -2,12 +2,15 @@
 
 Block-max pruning in three steps, each an upper bound of the next: the sum of list maxima
 of a passage's terms, the sum of their maxima in each block of items, and the score itself.
-Whatever scores above the threshold is verified by the overlap of five-word shingles with
-the item's question and answer."""
+Whatever scores what a unit needs is verified by the overlap of five-word shingles with the
+item's question and answer. Units are of a question or of an answer, never of both, and what
+one needs is at most the score that is left when the overlap is only just reached."""
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,16 +56,59 @@ def _entries(starts: np.ndarray, lists: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + counts, counts)
 
 
+def parts_of(words: list[int], unit: int) -> list[tuple[list[int], list[bool]]]:
+    """Near-equal runs of at most ``unit`` terms, and which of the shingles that begin in each are
+    the first of their kind in ``words``. Neighbours share terms, so that every shingle lies whole
+    in one run: if a share of all distinct shingles is met, some run meets that share of its own."""
+    count = max(1, len(words) - SHINGLE + 1)
+    known: set[tuple] = set()
+    first = []
+    for i in range(count):
+        gram = tuple(words[i : i + SHINGLE])
+        first.append(gram not in known)
+        known.add(gram)
+    runs = -(-count // (unit - SHINGLE + 1))
+    cuts = [count * i // runs for i in range(runs + 1)]
+    return [(words[s : e + SHINGLE - 1], first[s:e]) for s, e in zip(cuts, cuts[1:], strict=False)]
+
+
+def least_share(words: list[int], first: list[bool], share: dict[int, float], overlap: float) -> float:
+    """At most the share of a unit's score that terms of its shingles hold when ``overlap`` of the
+    ``first`` ones are met.
+
+    A place is lost if all shingles over it are: a run of lost shingles loses as many places at
+    an end, and SHINGLE - 1 fewer inside. Runs are chosen as if they could share places."""
+    own = sum(first)
+    lost = len(first) - max(1, math.ceil(overlap * own - 1e-9))
+    times = Counter(words)
+    at = np.array([share[w] / times[w] for w in words])
+    if not lost:
+        return 1.0
+    held = min(sum(share[w] for w in set(words[i : i + SHINGLE])) for i in range(len(first)))  # one shingle at least is met
+    sums = np.concatenate([[0.0], np.cumsum(at)])
+    ahead, behind = sums[: lost + 1], sums[-1] - sums[::-1][: lost + 1]
+    most = [max(ahead[p] + behind[r - p] for p in range(r + 1)) for r in range(lost + 1)]
+    for r in range(SHINGLE, lost + 1):
+        for run in range(SHINGLE, r + 1):
+            n = run - SHINGLE + 1
+            most[r] = max(most[r], most[r - run] + (sums[n:] - sums[:-n]).max())
+    return max(1.0 - max(most), held)
+
+
 class Index:
-    """Postings of item units (at most ``unit`` terms each) with list and block maxima.
+    """Postings of units of questions and answers (at most ``unit`` terms each) with list and block maxima.
 
-    Weights are BM25 contributions over the unit's own score, so that one threshold serves
-    all units: a passage that holds every term of a unit scores 1."""
+    Weights are BM25 contributions over what the unit needs, so that one threshold, 1, serves all
+    units. A unit needs ``threshold`` of its own score, or less if a passage that holds just
+    ``overlap`` of its shingles may score less. A leak by all shingles of an item meets ``overlap``
+    of its question's or answer's; where the answer is no longer than the question, a lower overlap
+    of the question alone follows, and the answer has no units."""
 
-    def __init__(self, items: list[tuple[int, str]], *, unit: int = 64, block: int = 8, k1: float = 1.2, b: float = 0.75):
+    def __init__(self, items: list[tuple[int, str]], *, threshold: float = 0.5, overlap: float = 0.8, unit: int = 64, block: int = 8, k1: float = 1.2, b: float = 0.75):
         self.vocabulary: dict[str, int] = {}
         self.items = []  # (item id, question ids, answer ids)
         units: list[list[int]] = []
+        firsts: list[tuple[list[bool], float]] = []  # and the overlap that is to be reached
         self.owner: list[int] = []
         number = lambda w: self.vocabulary.setdefault(w, len(self.vocabulary))
         for item_id, text in sorted(items):
@@ -70,13 +116,13 @@ class Index:
             q, a = [number(w) for w in q], [number(w) for w in a]
             if not q:
                 continue
-            words = q + a
-            for at in range(0, len(words), unit):
-                part = words[at : at + unit]
-                if at and len(part) < unit // 2:
-                    continue  # the unit before and verification cover a short rest
-                units.append(part)
-                self.owner.append(len(self.items))
+            n_q, n_a = len(shingles(q)), len(shingles(a))
+            for words, reached in [(q, overlap - (1 - overlap) * n_a / n_q)] if n_a <= n_q else [(q, overlap), (a, overlap)]:
+                for part, first in parts_of(words, unit):
+                    if any(first):
+                        units.append(part)
+                        firsts.append((first, reached))
+                        self.owner.append(len(self.items))
             self.items.append((item_id, q, a))
         n, v = len(units), len(self.vocabulary)
         df = np.zeros(v)
@@ -85,11 +131,15 @@ class Index:
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         mean = sum(map(len, units)) / max(n, 1)
         entries = []
+        self.needs = np.zeros(n)
         for i, u in enumerate(units):
             w = np.bincount(u, minlength=v)
             at = np.flatnonzero(w)
             s = idf[at] * w[at] * (k1 + 1) / (w[at] + k1 * (1 - b + b * len(u) / mean))
-            entries += zip(at.tolist(), [i] * len(at), (s / s.sum()).tolist(), strict=True)
+            s /= s.sum()
+            first, reached = firsts[i]
+            self.needs[i] = min(threshold, least_share(u, first, dict(zip(at.tolist(), s.tolist(), strict=True)), reached))
+            entries += zip(at.tolist(), [i] * len(at), (s / self.needs[i]).tolist(), strict=True)
         entries.sort()
         self.block, self.blocks = block, -(-n // block) if n else 0
         t = np.array([e[0] for e in entries], np.int64)
@@ -137,7 +187,7 @@ class TermNumbers(dict):
         return value
 
 
-def leaks_of(text: str, index: Index, numbers: TermNumbers, *, threshold: float, overlap: float, passage: int, stride: int) -> list[tuple[int, float, float, float]]:
+def leaks_of(text: str, index: Index, numbers: TermNumbers, *, overlap: float, passage: int, stride: int) -> list[tuple[int, float, float, float]]:
     """(item id, score, question overlap, answer overlap) of one text."""
     words = np.fromiter(map(numbers.__getitem__, text.split()), np.int64)
     words = words[words >= 0]
@@ -149,14 +199,14 @@ def leaks_of(text: str, index: Index, numbers: TermNumbers, *, threshold: float,
     ends = np.minimum(starts + passage, n)
     best: dict[int, float] = {}
     where: dict[int, list[int]] = {}
-    for s in starts[total[ends] - total[starts] >= threshold - 1e-6]:
+    for s in starts[total[ends] - total[starts] >= 1 - 1e-6]:
         query = np.unique(words[s : s + passage])
         query = query[query < none]
-        if index.list_max[query].sum() < threshold - 1e-9:
+        if index.list_max[query].sum() < 1 - 1e-9:
             continue
-        for unit, score in index.search(query, threshold):
+        for unit, score in index.search(query, 1.0):
             item = index.owner[unit]
-            best[item] = max(best.get(item, 0.0), score)
+            best[item] = max(best.get(item, 0.0), score * index.needs[unit])
             where.setdefault(item, []).append(int(s))
     out = []
     for item, score in sorted(best.items()):
@@ -178,7 +228,8 @@ def leaks_of(text: str, index: Index, numbers: TermNumbers, *, threshold: float,
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.5, overlap: float = 0.8, passage: int = 160, stride: int = 96, most_index_mb: int = 512) -> DataFrame:
     """One row per document and leaked item: doc_id, item_id, score, question_overlap, answer_overlap, answer_leaked.
 
-    score: the best passage's BM25 over the item's own (1: all its terms). Items without a
+    score: the best passage's BM25 over that of a unit of the item's question or answer (1: all
+    the unit's terms). Items without a
     term and null texts or item ids match nothing; repeated rows each give their rows; an item
     is leaked if ``overlap`` of its question's, or of all its, shingles lie near the passage.
     The index is broadcast; it holds test items only and its size is checked: an index over
@@ -188,7 +239,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     size = items.agg(F.sum(F.length(F.col(items.columns[1])).cast("long"))).first()[0] or 0
     if size * 8 > most_index_mb << 20:
         raise ValueError(f"benchmark of {size} characters is over the index limit of {most_index_mb} MB")
-    index = Index([(r[0], r[1]) for r in items.collect()])
+    index = Index([(r[0], r[1]) for r in items.collect()], threshold=threshold, overlap=overlap)
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, answer_leaked boolean"
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -196,7 +247,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
         ix = shared.value
         numbers = TermNumbers(ix.vocabulary)
         for ids, texts in text_batches(batches):
-            rows = [(i, *leak) for i, t in zip(ids, texts, strict=True) for leak in leaks_of(t, ix, numbers, threshold=threshold, overlap=overlap, passage=passage, stride=stride)]
+            rows = [(i, *leak) for i, t in zip(ids, texts, strict=True) for leak in leaks_of(t, ix, numbers, overlap=overlap, passage=passage, stride=stride)]
             if rows:
                 c = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), *(pa.array(x, pa.float64()) for x in c[2:]), pa.array([x >= overlap for x in c[4]], pa.bool_())], names=[x.split()[0] for x in schema.split(", ")])

@@ -513,6 +513,60 @@ def test_leaks(spark, empty):
     assert {x["doc_id"] for x in clean.collect()} == {i for i, *_ in rows} - {i for i, _ in want}
 
 
+def test_question_only_leaks(spark):
+    """Questions whose long answers are absent, whole or as changed as the overlap lets them be."""
+    r = random.Random(11)
+    own = lambda k, n: [f"{c}{k}x{i}" for i, c in enumerate(r.choices("abcdefgh", k=n))]
+    items, rows = [], []
+    for k, (n_q, n_a) in enumerate([(2, 33), (5, 32), (6, 47), (9, 60), (14, 90), (24, 70), (40, 130), (90, 300), (150, 200), (12, 10), (30, 20)]):
+        q, a = own(k, n_q), own(k, n_a)
+        items.append((k, " ".join(q) + ". " + " ".join(a).capitalize() + "."))
+        shown = [q, a]
+        lost = int(0.2 * max(1, n_q - 4) + 1e-9)
+        shown += [q[lost:], q[: n_q - lost], q[lost + 1 :]]  # the last has too few shingles
+        shown += [q[: n_q // 2] + ["other"] + q[n_q // 2 + 1 :]]
+        for x in shown:
+            rows.append((len(rows), " ".join(words(100, r) + x + words(100, r)), "en", "s", 1))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontam.find_leaks(frame(spark, rows), bench).collect()}
+    want = set()
+    for i, x, *_ in rows:
+        near = decontam.terms(x)
+        for k, item in items:
+            q, a = decontam.question_and_answer(item)
+            qs, as_ = decontam.shingles(q), decontam.shingles(a)
+            seen = set().union(*(set(zip(*(near[j:] for j in range(n)), strict=False)) for n in {min(5, len(q)), 5}))
+            if len(qs & seen) >= 0.8 * len(qs) or len((qs | as_) & seen) >= 0.8 * len(qs | as_):
+                want.add((i, k))
+    assert {(i, k) for k in range(len(items)) for i in (6 * k, 6 * k + 2, 6 * k + 3)} <= want
+    assert got == want
+    assert {x["doc_id"] for x in decontam.drop_leaked(frame(spark, rows), bench).collect()} == set(range(len(rows))) - {i for i, _ in want}
+
+
+def test_units_need_no_more_than_a_leak_scores():
+    r = random.Random(12)
+    for n in (3, 5, 8, 9, 20, 33, 64, 65, 150):
+        for pool in (8, 400):
+            q = [r.randrange(pool) for _ in range(n)]
+            units, at = decontam.parts_of(q, 64), 0
+            assert sum(sum(first) for _, first in units) == len(decontam.shingles(q)) and all(len(u) <= 64 for u, _ in units)
+            for u, first in units:
+                assert u == q[at : at + len(u)]
+                at += len(first)
+                own = [i for i, x in enumerate(first) if x]
+                if not own:
+                    continue
+                share = {w: r.random() ** 4 for w in u}
+                share = {w: x / sum(share.values()) for w, x in share.items()}
+                least = decontam.least_share(u, first, share, 0.8)
+                assert 0 < least <= 1
+                for _ in range(200):
+                    lost, a = int(0.2 * len(own) + 1e-9), r.choice((0, len(own), r.randint(0, len(own))))
+                    met = own[:a] + own[a + lost :] if a + lost <= len(own) else own[: len(own) - lost]
+                    met = met if r.random() < 0.7 else r.sample(own, len(own) - lost)
+                    assert sum(share[w] for w in set().union(*(u[i : i + 5] for i in met))) >= least - 1e-9
+
+
 def test_pruning_keeps_every_score():
     r = random.Random(9)
     items = [(k, text(r.randint(3, 60), r)) for k in range(150)]
