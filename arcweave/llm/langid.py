@@ -6,6 +6,7 @@ smoothed towards its parent domain and that towards the whole corpus are added u
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -18,6 +19,8 @@ from .common import arrow_rows, tidy
 from .tokens import text_batches
 
 BUCKETS = 1 << 15
+#: Languages whose counts a task holds at once.
+MOST_HELD = 64
 UNKNOWN = "und"
 
 
@@ -60,55 +63,79 @@ def evidence(rows: DataFrame, *, id_col: str, text_col: str, declared: F.Column
 
 
 class Model:
-    """What is broadcast: languages x buckets log-likelihoods and two small tables. Its size
-    depends on the number of languages (at most ``most``), never on the number of rows."""
+    """What is broadcast: languages x buckets log-likelihoods (256 KB a language) and small tables. Its
+    size depends on the number of languages and suffixes, never on the number of rows."""
 
-    def __init__(self, languages, text, prior, declared, suffix):
-        self.languages, self.text, self.prior, self.declared, self.suffix = languages, text, prior, declared, suffix
+    def __init__(self, languages, text, prior, declared, suffix, alpha):
+        self.languages, self.text, self.prior, self.declared, self.suffix, self.alpha = languages, text, prior, declared, suffix, alpha
 
+    def of_suffix(self, suffix: str) -> np.ndarray:
+        at, counts = self.suffix[suffix]
+        v = np.full(len(self.languages), self.alpha)
+        v[at] += counts
+        return np.log(v / v.sum()) - self.prior
 
-def fit(ev: DataFrame, *, most_languages: int = 64, least_rows: int = 5, most_suffixes: int = 4096, alpha: float = 0.5, declared_trust: float = 0.9) -> Model | None:
+
+def smoothed(counts: np.ndarray, rows: np.ndarray, alpha: float, few: float) -> np.ndarray:
+    """Log-likelihoods of buckets by language, from counts (languages x buckets) and rows by language.
+
+    A bucket that no text has weighs the same in all languages. What a language lacks in rows the
+    whole corpus stands in for, by (few / (few + rows)) ** 2: much with one row, so that a wrong
+    mark draws no others to it, and next to nothing with hundreds."""
+    size = counts.sum(1, keepdims=True)
+    floor = alpha * np.maximum(size, 1) / max(size.max(), 1)
+    own = (counts + floor) / (size + floor * counts.shape[1])
+    whole = (counts.sum(0) + alpha) / (size.sum() + alpha * counts.shape[1])
+    lack = ((few / (few + rows)) ** 2)[:, None]
+    return np.log((1 - lack) * own + lack * whole)
+
+
+def fit(ev: DataFrame, *, alpha: float = 0.5, few: float = 5.0, declared_trust: float = 0.9) -> Model | None:
     """Grouped counts over all rows: trigrams by declared language, and suffixes by declared language.
 
-    Languages that fewer than ``least_rows`` rows declare are not modelled: one wrong mark makes none."""
-    tops = [r[0] for r in ev.where("declared is not null").groupBy("declared").count().where(F.col("count") >= least_rows).orderBy(F.desc("count"), "declared").limit(most_languages).collect()]
-    if not tops:
+    Every language that a row declares is modelled; those of few rows are smoothed towards the corpus."""
+    by_language = {r[0]: r[1] for r in ev.where("declared is not null").groupBy("declared").count().collect()}
+    if not by_language:
         return None
-    languages = sorted(tops)
+    languages = sorted(by_language)
     index = {x: i for i, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), BUCKETS), np.int64)
+        held: dict[int, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            found = [(k, np.flatnonzero(x), x) for k, x in sorted(held.items())]
+            at = np.concatenate([k * BUCKETS + i for k, i, _ in found]) if found else np.empty(0, np.int64)
+            n = np.concatenate([x[i] for _, i, x in found]) if found else np.empty(0, np.int64)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n, pa.int64())], names=["at", "n"])
+
         for lang, texts in text_batches(batches, 1 << 20):
             code, starts = grams(texts)
             sizes = np.diff(np.append(starts, len(code) + 2))
-            which = np.repeat(np.array([index.get(x, -1) for x in lang]), sizes)[: len(code)]
-            ok = which >= 0
-            total += np.bincount(which[ok] * BUCKETS + code[ok], minlength=total.size).reshape(total.shape)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["at", "n"])
+            of = np.array([index[x] for x in lang])
+            which = np.repeat(of, sizes)[: len(code)]
+            for k in np.unique(of).tolist():
+                if k not in held and len(held) >= MOST_HELD:
+                    yield out()
+                n = np.bincount(code[which == k], minlength=BUCKETS)
+                held[k] = held[k] + n if k in held else n
+        yield out()
 
     sums = ev.where("declared is not null").select("declared", "text").mapInArrow(tidy(count), "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
     table = np.zeros(len(languages) * BUCKETS)
     found = sums.toPandas()  # at most languages x BUCKETS rows
     table[found["at"].to_numpy(np.int64)] = found["n"].to_numpy(float)
-    table = table.reshape(len(languages), BUCKETS) + alpha
-    text = np.log(table / table.sum(1, keepdims=True))
-    rows = ev.where(F.col("declared").isin(languages)).groupBy("declared").count().collect()
-    prior = np.full(len(languages), alpha)
-    for r in rows:
-        prior[index[r[0]]] += r[1]
-    prior = np.log(prior / prior.sum())
+    rows = np.array([by_language[x] for x in languages], float)
+    text = smoothed(table.reshape(len(languages), BUCKETS), rows, alpha, few)
+    prior = np.log((rows + alpha) / (rows + alpha).sum())
     known = len(languages)
     declared = np.log(np.where(np.eye(known, dtype=bool), declared_trust, (1 - declared_trust) / max(1, known - 1)))
-    pairs = ev.where("suffix is not null and declared is not null").groupBy("suffix", "declared").count()
-    top = [r[0] for r in pairs.groupBy("suffix").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "suffix").limit(most_suffixes).collect()]
-    suffix = {}
-    for r in pairs.where(F.col("suffix").isin(top)).collect() if top else []:
-        if r[1] in index:
-            suffix.setdefault(r[0], np.full(known, alpha))[index[r[1]]] += r[2]
-    suffix = {k: np.log(v / v.sum()) - prior for k, v in suffix.items()}
-    return Model(languages, text, prior, declared, suffix)
+    pairs: dict[str, list[tuple[int, int]]] = {}
+    for r in ev.where("suffix is not null and declared is not null").groupBy("suffix", "declared").count().collect():
+        pairs.setdefault(r[0], []).append((index[r[1]], r[2]))
+    suffix = {k: (np.array([j for j, _ in v]), np.array([n for _, n in v], float)) for k, v in pairs.items()}
+    return Model(languages, text, prior, declared, suffix, alpha)
 
 
 def host_priors(ev: DataFrame, languages: list[str], *, strength: float = 20.0) -> DataFrame:
@@ -158,6 +185,7 @@ def identify(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         index = {x: i for i, x in enumerate(m.languages)}
+        of_suffix = functools.lru_cache(4096)(m.of_suffix)
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -169,7 +197,7 @@ def identify(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 if d in index:
                     score[i] += m.declared[:, index[d]]
                 if s in m.suffix:
-                    score[i] += m.suffix[s]
+                    score[i] += of_suffix(s)
             top = score.max(1)
             confidence = 1 / np.exp(score - top[:, None]).sum(1)
             told = letters | np.array([d in index or s in m.suffix for d, s in zip(batch.column("declared").to_pylist(), batch.column("suffix").to_pylist(), strict=True)])

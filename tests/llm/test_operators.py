@@ -435,6 +435,52 @@ def test_language(spark):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} >= set(range(len(rows))) and not {900, 901, 902} & {r["doc_id"] for r in kept.collect()}
 
 
+def made_languages(n: int, rows: list[int], seed: int = 3):
+    """Rows of languages with syllables of their own: (id, text, language, host)."""
+    r = random.Random(seed)
+    out = []
+    for k in range(n):
+        parts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyzåéîøüß") for _ in range(3)) for _ in range(8)]
+        for _ in range(rows[k % len(rows)]):
+            out.append((len(out), " ".join("".join(r.choice(parts) for _ in range(r.randint(1, 3))) for _ in range(40)), f"l{k}", f"www.{k % 7}.org"))
+    return out
+
+
+def test_every_language_is_modelled(spark):
+    rows = made_languages(80, [7, 8, 7])  # more than 64, and each of several rows
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for kw in ({}, {"host_col": F.col("source")}, {"suffix": F.concat(F.lit("s"), F.col("lang"))}):
+        got = {r["id"]: r for r in langid.identify(df, declared=F.col("lang"), **kw).collect()}
+        assert all(got[i]["lang"] == k and got[i]["accepted"] for i, _, k, _ in rows)
+
+
+def test_rare_languages_keep_their_rows(spark):
+    rows = made_languages(6, [300, 1, 2, 60, 4, 3])
+    odd = [(9000, rows[5][1], "l9", "www.1.org"), (9001, rows[-1][1], None, None), (9002, rows[7][1], "l0", None)]  # a wrong mark, none, a right one
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, source string")
+    got = {r["id"]: r for r in langid.identify(df, declared=F.col("lang"), host_col=F.col("source")).collect()}
+    assert all(got[i]["lang"] == k and got[i]["accepted"] for i, _, k, _ in rows)
+    assert got[9001]["lang"] == "l5" and got[9002]["lang"] == "l0"
+    kept = langid.keep_identified(df)
+    assert {(r["doc_id"], r["lang"]) for r in kept.collect()} >= {(i, k) for i, _, k, _ in rows}
+
+
+@pytest.mark.parametrize("rows", [[1], [1, 2, 3, 4]])
+def test_small_tables_keep_their_languages(spark, rows):
+    rows = made_languages(4, rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["id"]: r for r in langid.identify(df, declared=F.col("lang"), host_col=F.col("source")).collect()}
+    assert all(got[i]["lang"] == k and got[i]["accepted"] for i, _, k, _ in rows)
+    assert langid.keep_identified(df).count() == len(rows)
+
+
+def test_more_suffixes_than_a_table_held_before(spark):
+    rows = [(i, "the same words here", "en" if i % 2 else "de", f"x{i // 2 * 2 + i % 2}") for i in range(5000)] + [(9000 + i, "the same words here", None, f"x{4990 + i}") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, suffix string")
+    got = {r["id"]: r["lang"] for r in langid.identify(df, declared=F.col("lang"), suffix=F.col("suffix")).where("id >= 9000").collect()}
+    assert got == {9000: "de", 9001: "en", 9002: "de", 9003: "en"}
+
+
 def test_evidence_columns(spark):
     df = spark.createDataFrame([("https://m.site.example.de/fr/825?page=2", '<HTML class=a lang="FR-ca">'), ("//site.de", "<p>"), (None, None), ("site", "<html>")], "url string, html string")
     got = [tuple(r) for r in df.select(langid.host("url"), langid.address_suffix("url"), langid.declared_language("html")).collect()]
