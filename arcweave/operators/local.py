@@ -60,10 +60,13 @@ def isolates(g: Graph) -> DataFrame:
     return _vertices(g).join(ends, ["graph_id", "vid"], "left_anti")
 
 
-def is_isolate(g: Graph, ego: int | list[int]) -> DataFrame:
-    egos = [ego] if isinstance(ego, int) else list(ego)
+def is_isolate(g: Graph, ego: int | list[int] | None = None) -> DataFrame:
+    """graph_id, vid, isolate of some vertices; of all without ``ego``."""
+    v = _vertices(g)
+    if ego is not None:
+        v = v.where(F.col("vid").isin([ego] if isinstance(ego, int) else list(ego)))
     iso = isolates(g).withColumn("isolate", F.lit(True))
-    return _vertices(g).where(F.col("vid").isin(egos)).join(iso, ["graph_id", "vid"], "left").select("graph_id", "vid", F.coalesce("isolate", F.lit(False)).alias("isolate"))
+    return v.join(iso, ["graph_id", "vid"], "left").select("graph_id", "vid", F.coalesce("isolate", F.lit(False)).alias("isolate"))
 
 
 def _dyads(g: Graph) -> DataFrame:

@@ -59,6 +59,7 @@ add("nties", lambda s, d: DROP(local.nties(USERS(s, d))), f"{USERS_SQL} SELECT C
 _sparse, _sparse_sql = _on("trade", factor=1.5)
 add("isolates", lambda s, d: DROP(local.isolates(_sparse(s, d))), f"{_sparse_sql} SELECT vid FROM v WHERE vid NOT IN (SELECT src FROM e UNION SELECT dst FROM e)")
 add("is_isolate", lambda s, d: DROP(local.is_isolate(_sparse(s, d), list(range(5)))), f"{_sparse_sql} SELECT vid, vid NOT IN (SELECT src FROM e UNION SELECT dst FROM e) AS isolate FROM v WHERE vid < 5")
+add("is_isolate_all", lambda s, d: DROP(local.is_isolate(_sparse(s, d))), f"{_sparse_sql} SELECT vid, vid NOT IN (SELECT src FROM e UNION SELECT dst FROM e) AS isolate FROM v")
 
 # Dyads and triads -----------------------------------------------------------------------------
 
@@ -235,5 +236,5 @@ add("cutpoints", lambda s, d: DROP(connectivity.cutpoints(_big(s, d))))
 add("bicomponent_dist", lambda s, d: DROP(connectivity.bicomponent_dist(_big(s, d), "weak")))
 add("clique_census", lambda s, d: DROP(connectivity.clique_census(TRADE(s, d))["aggregate"]))
 add("label_propagation", lambda s, d: DROP(connectivity.label_propagation(TRADE(s, d))))
-add("maxflow", lambda s, d: connectivity.maxflow(_big(s, d), src=[0, 1, 2]))
+add("maxflow", lambda s, d: connectivity.maxflow(_big(s, d)))
 add("redist", lambda s, d: rounded(roles.redist(_big(s, d)), "redist"))

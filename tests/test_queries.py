@@ -47,6 +47,22 @@ def test_query_runs(spark, name):
     assert QUERIES[name](spark, SF).count() >= 0
 
 
+def test_all_vertices_are_asked(spark):
+    from pyspark.sql import functions as F
+
+    from arcweave.plans.queries import _big
+
+    g = _big(spark, SF)
+    vids = {r["vid"] for r in g.vertices.collect()}
+    flow = {(r["src"], r["dst"]): r["flow"] for r in QUERIES["maxflow"](spark, SF).collect()}
+    assert set(flow) == {(s, t) for s in vids for t in vids}
+    e = g.edges.where("src <> dst")
+    out, into = ({r[0]: r[1] for r in e.groupBy(c).agg(F.sum(F.greatest("weight", F.lit(0.0)))).collect()} for c in ("src", "dst"))
+    assert all(x == math.inf if s == t else 0 <= x <= min(out.get(s, 0), into.get(t, 0)) for (s, t), x in flow.items())
+    touched = {r[0] for r in e.select("src").union(e.select("dst")).collect()}
+    assert {r["vid"]: r["isolate"] for r in QUERIES["is_isolate_all"](spark, SF).collect()} == {v: v not in touched for v in vids}
+
+
 def test_entry(spark):
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE_SQL) <= set(entry.oracle_sql())
     assert set(entry.oracle_sql()) <= set(entry.queries())
