@@ -7,6 +7,7 @@ import functools
 import gc
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -20,15 +21,21 @@ MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` where the
-    cluster names one, else (single machine, tests) a temporary folder set once."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``. Where it is unset a
+    local master (tests) gets a temporary folder once; on a cluster that is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="arcweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Folders of tables that were written here, by DataFrame.
+WRITTEN: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -36,7 +43,51 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    WRITTEN[out] = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table behind a DataFrame that ``materialize`` returned, once nothing reads it any more."""
+    path = WRITTEN.pop(df, None)
+    if path:
+        jvm = df.sparkSession.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def private(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own beside all columns of ``df``, whatever these are called."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str, value: str, weight: str) -> DataFrame:
+    """``rows`` with the column ``value`` of ``table`` (one row a ``key``; null where there is none).
+
+    ``weight`` is about how many rows ask for a key. A key with over 1 / shuffle partitions of all weight is
+    hot; there are no more of them than partitions, so they are broadcast, and only the rest is shuffled by
+    key. Rows of a hot key are dealt by a hash of the whole row instead."""
+    spark = rows.sparkSession
+    shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    least = max(2, -(-total // shares))
+    kind = dict(rows.dtypes)[key]
+    mark, found, other, hot_key = private(rows, "hot", "found", "other", "hot_key")
+    hot = table.where(F.col(weight) >= least).select(F.col(key).alias(hot_key), F.col(value).alias(mark))
+    cold = table.where(F.col(weight) < least).select(F.col(key).alias(other), F.col(value).alias(found))
+    asked = rows.join(F.broadcast(hot), F.col(key) == F.col(hot_key), "left").drop(hot_key)
+    dealt = F.when(F.col(mark).isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns).cast(kind))
+    joined = asked.withColumn(hot_key, dealt).join(cold, F.col(hot_key) == F.col(other), "left")
+    taken = F.coalesce(mark, F.when(F.col(other) == F.col(key), F.col(found)))
+    return joined.select(*rows.columns, taken.alias(value))
 
 
 def arrow_rows(spark: SparkSession, most: int = 1000) -> None:
@@ -156,7 +207,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = fresh(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.union(least.select("u", "m")).where("u <> v").distinct())
+        before, e = e, materialize(small.union(least.select("u", "m")).where("u <> v").distinct())
+        release(before)
         now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first()
         if now == was:
             break
