@@ -3,9 +3,12 @@
 Recurring passages are confirmed without sending all windows around: of each window of
 ``span`` words, the least hash of its inner runs of words is an anchor, equal windows have
 equal anchors, and only windows whose anchor lies in two documents are hashed, counted and
-given an owner (the least id that has them). Maximal runs of confirmed windows are compiled, a shard
-of documents at a time, into an Aho-Corasick automaton, and the shard's documents stream
-through it: every occurrence in a document above all owners of its windows is removed."""
+given an owner (the least id that has them). The owner's text yields the passages: maximal runs
+of its confirmed windows, dealt to shards of bounded size. Each shard is compiled into an
+Aho-Corasick automaton over words, once for every chunk of the documents that visit it, and the
+chunk's documents stream through it. What is removed comes from the automaton's matches alone,
+which compare words with the owner's words. Hashes only say which shards a document visits: a
+document without a confirmed window's hash holds no passage and visits none."""
 
 from __future__ import annotations
 
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, arrow_rows, finish, fresh, gram_hashes, materialize, tidy
+from .common import WordHash, arrow_rows, finish, fresh, gram_hashes, look_up, materialize, tidy
 from .setjoin import squeeze, unpack
 from .tokens import text_batches
 
@@ -57,8 +60,18 @@ def _survey(span: int):
     return run
 
 
+def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Joined rows (id, z, name, hits) without those whose text is that of another row with the id."""
+    known = WordHash()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            same = [text_name(known.of(unpack(z.as_py()).split())) == name.as_py() for z, name in zip(part.column("z"), part.column("name"), strict=True)]
+            yield part.filter(pa.array(same, pa.bool_()))
+
+
 def _windows(span: int):
-    """Joined rows (id, z, name, hits) to the distinct windows that have a hit as anchor."""
+    """Rows (id, z, name, hits) to the distinct windows that have a hit as anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
@@ -68,8 +81,6 @@ def _windows(span: int):
                 out = [], [], []
                 for i, z, name, hits in zip(*(part.column(c) for c in ("id", "z", "name", "hits")), strict=True):
                     h = known.of(unpack(z.as_py()).split())
-                    if text_name(h) != name.as_py():
-                        continue  # another row with this id
                     w = np.unique(gram_hashes(h, span)[np.isin(anchors(h, span), hits.values.to_numpy().view(np.uint64))]).view(np.int64)
                     out[0].append(w)
                     out[1].append(np.full(len(w), i.as_py()))
@@ -80,101 +91,152 @@ def _windows(span: int):
     return run
 
 
-def covered(docs: list[tuple[int, list[bytes], np.ndarray, dict[int, int]]], span: int) -> list[np.ndarray]:
-    """Masks of the removed words of a shard: (id, words, word hashes, owner by window)."""
-    owners: dict[str, int] = {}
-    text = []
-    for _, words, hashed, own in docs:
-        line = b" ".join(words).decode("utf-8", "replace")
-        text.append(f" {line} ")
-        starts = np.cumsum([0, *(len(w.decode("utf-8", "replace")) + 1 for w in words)])
-        w = gram_hashes(hashed, span).view(np.int64)
-        found = np.flatnonzero(np.isin(w, np.fromiter(own, np.int64, len(own))))
-        lo = [own[x] for x in w[found].tolist()]
-        i = 0
-        while i < len(found):
-            j = i
-            while j + 1 < len(found) and found[j + 1] == found[j] + 1:
-                j += 1
-            # Word k of the line begins at starts[k] + 1 of the padded text. Above the largest
-            # owner of its windows, the whole passage goes; a document between the owners has
-            # passages of its own for the windows that it loses.
-            owners[text[-1][starts[found[i]] : starts[found[j] + span] + 1]] = max(lo[i : j + 1])
-            i = j + 1
-    automaton = ahocorasick.Automaton()
-    for passage, owner in owners.items():
-        automaton.add_word(passage, (owner, len(passage)))
-    if owners:
-        automaton.make_automaton()
-    masks = []
-    for (i, words, _, _), line in zip(docs, text, strict=True):
-        gone = np.zeros(len(words) + 1, np.int64)
-        if owners:
-            starts = np.cumsum([0, *(len(w.decode("utf-8", "replace")) + 1 for w in words)])
-            hit = [(end - size + 1, end) for end, (owner, size) in automaton.iter(line) if owner < i]
-            for a, b in zip(np.searchsorted(starts, [x for x, _ in hit]), np.searchsorted(starts, [x for _, x in hit]), strict=True):
-                gone[a] += 1
-                gone[b] -= 1
-        masks.append(np.cumsum(gone[:-1]) > 0)
-    return masks
-
-
-def _remove(span: int, shard_chars: int = 1 << 20):
-    """Joined rows (id, z, name, w, owner) to what is left of each document."""
+def _passages(span: int, shards: int, most: int = 4096):
+    """Owners' rows (id, z, name, own: windows and how many have them) to passages (shard, id, z) of at
+    most ``most`` windows, and to where each window is (shard, id, w, n)."""
+    names = ["shard", "id", "z", "w", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
-        shard, names, size = [], [], 0
+        for batch in batches:
+            for i, z, own in zip(*(batch.column(c) for c in ("id", "z", "own")), strict=True):
+                words = unpack(z.as_py()).split()
+                g = gram_hashes(known.of(words), span).view(np.int64)
+                asked = own.values
+                w, n = (asked.field(c).to_numpy() for c in ("w", "n"))
+                order = np.argsort(w)
+                found = np.flatnonzero(np.isin(g, w))
+                cuts = np.flatnonzero(np.diff(found, prepend=-2) > 1)
+                cuts = np.concatenate([np.arange(a, b, most) for a, b in zip(cuts, [*cuts[1:], len(found)], strict=True)]) if len(cuts) else cuts
+                ends = [*cuts[1:], len(found)]
+                texts = [b" ".join(words[found[a] : found[b - 1] + span]) for a, b in zip(cuts, ends, strict=True)]
+                shard = np.array([text_name(np.array([i.as_py() & (2**64 - 1), k], np.uint64)) % shards for k in range(len(texts))], np.int64)
+                none = pa.nulls(len(texts), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array([i.as_py()] * len(texts), pa.int64()), pa.array(texts, pa.binary()), none, none], names=names)
+                window, first = np.unique(g[found], return_index=True)
+                at = shard[np.searchsorted(cuts, first, "right") - 1] if len(first) else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(window), i.as_py())), pa.nulls(len(window), pa.binary()), pa.array(window), pa.array(n[order][np.searchsorted(w[order], window)])], names=names)
+
+    return run
 
-        def flush():
-            masks = covered(shard, span)
-            left = [[w for w, m in zip(d[1], mask.tolist(), strict=True) if not m] for d, mask in zip(shard, masks, strict=True)]
-            texts = [b" ".join(x).decode("utf-8", "replace") for x in left]
-            return pa.RecordBatch.from_arrays([pa.array([d[0] for d in shard], pa.int64()), pa.array(names, pa.int64()), pa.array([int(m.sum()) for m in masks], pa.int64()), pa.array([_sha(x) for x in left]), pa.array(texts)], names=["id", "name", "n_removed", "sha", "kept"])
 
+class Automaton:
+    """Aho-Corasick over words; a match is a window of ``span`` words of a passage, and has its owner."""
+
+    def __init__(self, span: int):
+        self.span, self.numbers, self.ready = span, {}, False
+        self.inner = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+
+    def add(self, owner: int, words: list[bytes]) -> None:
+        number = self.numbers
+        ids = [number.setdefault(w, len(number) + 1) for w in words]
+        for i in range(len(ids) - self.span + 1):
+            window = tuple(ids[i : i + self.span])
+            if owner < self.inner.get(window, LAST + 1):
+                self.inner.add_word(window, owner)
+
+    def covered(self, doc: int, words: list[bytes]) -> tuple[list[int], list[int]]:
+        """Runs of words (first, end) under matches whose owner is below ``doc``."""
+        if not self.ready and len(self.inner):
+            self.inner.make_automaton()
+            self.ready = True
+        lo: list[int] = []
+        hi: list[int] = []
+        if self.ready and len(words) >= self.span:
+            get = self.numbers.get
+            for end, owner in self.inner.iter(tuple([get(w, 0) for w in words])):
+                if owner < doc:
+                    start = end - self.span + 1
+                    if hi and start <= hi[-1]:
+                        hi[-1] = end + 1
+                    else:
+                        lo.append(start)
+                        hi.append(end + 1)
+        return lo, hi
+
+
+def _locate(span: int):
+    """Rows sorted by (shard, chunk, kind): a chunk's passages (kind 0) are compiled, then its documents
+    stream through, one at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, automaton = None, None
         for batch in batches:
-            for i, z, name, w, owner in zip(*(batch.column(c) for c in ("id", "z", "name", "w", "owner")), strict=True):
-                words = unpack(z.as_py()).split()
-                h = known.of(words)
-                if text_name(h) != name.as_py():
+            out = [], [], [], []
+            for shard, chunk, kind, i, name, z in zip(*(batch.column(c) for c in ("shard", "chunk", "kind", "id", "name", "z")), strict=True):
+                if (at := (shard.as_py(), chunk.as_py())) != here:
+                    here, automaton = at, Automaton(span)
+                if not kind.as_py():
+                    automaton.add(i.as_py(), z.as_py().split())
                     continue
-                shard.append((i.as_py(), words, h, dict(zip(w.as_py(), owner.as_py(), strict=True))))
-                names.append(name.as_py())
-                size += sum(map(len, words))
-                if size >= shard_chars:
-                    yield flush()
-                    shard, names, size = [], [], 0
-        if shard:
-            yield flush()
+                lo, hi = automaton.covered(i.as_py(), unpack(z.as_py()).split())
+                if lo:
+                    for column, x in zip(out, (i.as_py(), name.as_py(), lo, hi), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.list_(pa.int64()))], names=["id", "name", "lo", "hi"])
 
     return run
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = 50, with_text: bool = False) -> DataFrame:
+def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, name, z, lo, hi) to what is left of each document."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            gone, left = [], []
+            for z, lo, hi in zip(*(part.column(c) for c in ("z", "lo", "hi")), strict=True):
+                words = unpack(z.as_py()).split()
+                step = np.bincount(lo.values.to_numpy(), minlength=len(words) + 1) - np.bincount(hi.values.to_numpy(), minlength=len(words) + 1)
+                mask = np.cumsum(step[:-1]) > 0
+                gone.append(int(mask.sum()))
+                left.append([w for w, m in zip(words, mask.tolist(), strict=True) if not m])
+            texts = [b" ".join(x).decode("utf-8", "replace") for x in left]
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("name"), pa.array(gone, pa.int64()), pa.array([_sha(x) for x in left], pa.string()), pa.array(texts, pa.string())], names=["id", "name", "n_removed", "sha", "kept"])
+
+
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = 50, with_text: bool = False, shard_windows: int = 8192, chunk_docs: int = 4096) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256 (and kept, the text, if asked for).
 
     A word goes if a window of ``span`` consecutive words that covers it also starts in a row
     with a smaller id. Null texts have no words. Null ids come after all others; rows of one
-    id do not remove each other's words; equal rows give equal results."""
+    id do not remove each other's words; equal rows give equal results; an empty table gives an
+    empty result. A shard's automaton holds about ``shard_windows`` windows (2.4 KB each)."""
     arrow_rows(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     survey = materialize(rows.mapInArrow(tidy(_survey(span)), "id long, name long, n_words long, sha string, anchors array<long>"))
     # Of equal texts only the one with the least id is searched; the others lose every word.
     long_ones = survey.where(f"n_words >= {span}").select("id", "name", "anchors")
-    first = long_ones.groupBy("name").agg(F.min("id").alias("first"))
-    own = long_ones.join(fresh(first, "name"), "name").where("id = first").select("id", "name", F.explode("anchors").alias("h"))
+    first = long_ones.groupBy("name").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    own = look_up(long_ones, first, "name", "first", "n").where("first is null or id = first").select("id", "name", F.explode("anchors").alias("h"))
     shared = own.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
     hits = own.join(fresh(shared, "h"), "h").groupBy("id", "name").agg(F.collect_set("h").alias("hits"))
     packed = squeeze(rows.select("id", "text")).withColumnRenamed("doc_id", "id")
-    windows = packed.join(hits.hint("shuffle_hash"), "id").select("id", "z", "name", "hits").mapInArrow(tidy(_windows(span)), "w long, id long, name long")
-    windows = materialize(windows)
-    owner = windows.groupBy("w").agg(F.min("id").alias("owner"), F.max("id").alias("hi")).where("owner < hi").select("w", "owner")
-    doomed = windows.join(fresh(owner, "w"), "w").where("owner < id").distinct().groupBy("id", "name").agg(F.collect_list("w").alias("w"), F.collect_list("owner").alias("owner"))
-    done = packed.join(doomed.hint("shuffle_hash"), "id").select("id", "z", "name", "w", "owner").mapInArrow(tidy(_remove(span)), "id long, name long, n_removed long, sha string, kept string")
+    searched = materialize(packed.join(hits.hint("shuffle_hash"), "id").select("id", "z", "name", "hits").mapInArrow(tidy(_own_text), "id long, z binary, name long, hits array<long>"))
+    windows = materialize(searched.mapInArrow(tidy(_windows(span)), "w long, id long, name long"))
+    texts = searched.select("id", "name", "z")
+    owner = windows.groupBy("w").agg(F.min(F.struct("id", "name")).alias("o"), F.max("id").alias("hi"), F.count("*").alias("n")).where("o.id < hi")
+    owner = materialize(owner.select("w", "o.id", "o.name", "n"))
+    shards = max(1, -(-owner.count() // shard_windows))
+    owned = owner.groupBy("id", "name").agg(F.collect_list(F.struct("w", "n")).alias("own"))
+    built = materialize(texts.join(owned.hint("shuffle_hash"), ["id", "name"]).dropDuplicates(["id", "name"]).select("id", "z", "own").mapInArrow(tidy(_passages(span, shards)), "shard long, id long, z binary, w long, n long"))
+    place = built.where("w is not null").select("w", F.struct("shard", "id").alias("at"), "n")
+    routes = look_up(windows, place, "w", "at", "n").where("at.id < id").select("id", "name", "at.shard").distinct()
+    routes = materialize(routes)
+    visits = routes.groupBy("shard").agg(F.count("*").alias("n"))
+    chunks = F.ceil(F.col("visits") / chunk_docs).cast("int")
+    visiting = look_up(routes, visits.withColumn("visits", F.col("n")), "shard", "visits", "n")
+    visiting = visiting.select("id", "name", "shard", F.pmod(F.xxhash64("id", "name"), chunks).cast("int").alias("chunk"))
+    streamed = texts.join(visiting.hint("shuffle_hash"), ["id", "name"]).select("shard", "chunk", F.lit(1).alias("kind"), "id", "name", "z")
+    passages = built.where("z is not null").join(visits.withColumnRenamed("n", "visits"), "shard")
+    passages = passages.select("shard", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(0).alias("kind"), "id", F.lit(None).cast("long").alias("name"), "z")
+    dealt = streamed.unionByName(passages).repartition("shard", "chunk").sortWithinPartitions("shard", "chunk", "kind")
+    found = dealt.mapInArrow(tidy(_locate(span)), "id long, name long, lo array<long>, hi array<long>")
+    found = found.groupBy("id", "name").agg(F.flatten(F.collect_list("lo")).alias("lo"), F.flatten(F.collect_list("hi")).alias("hi"))
+    done = texts.join(found.hint("shuffle_hash"), ["id", "name"]).mapInArrow(tidy(_remove), "id long, name long, n_removed long, sha string, kept string")
     if not with_text:
         done = done.drop("kept")
     done = done.dropDuplicates(["id", "name"]).withColumnsRenamed({"id": "_id", "name": "_name", "sha": "_sha"})
-    out = survey.drop("anchors").join(fresh(first, "name"), "name", "left").join(done, (F.col("id") == F.col("_id")) & (F.col("name") == F.col("_name")), "left")
+    out = look_up(survey.drop("anchors"), first, "name", "first", "n").join(done, (F.col("id") == F.col("_id")) & (F.col("name") == F.col("_name")), "left")
     copy = F.coalesce(F.col("first") < F.col("id"), F.lit(False))
     columns = [
         F.nullif("id", F.lit(LAST)).alias("doc_id"),
