@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, tidy
+from .common import arrow_rows, private, tidy
 from .tokens import text_batches
 
 BUCKETS = 1 << 15
@@ -55,6 +55,11 @@ def address_suffix(url: str):
     return F.lower(F.coalesce(path, F.nullif(F.regexp_extract(host(url), r"\.([a-z]{2,})$", 1), F.lit(""))))
 
 
+def page_text(html: str):
+    """Column: a page's text, with a blank for each tag, comment, script and style."""
+    return F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
+
+
 def evidence(rows: DataFrame, *, id_col: str, text_col: str, declared: F.Column | None = None, suffix: F.Column | None = None, host_col: F.Column | None = None) -> DataFrame:
     """Only the columns that are used: id, text, declared, suffix, host (nulls where absent)."""
     none = F.lit(None).cast("string")
@@ -230,9 +235,12 @@ def _text_scores(ev: DataFrame, shared) -> DataFrame:
 def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", declared: str = "lang", host: str = "source", **kw) -> DataFrame:
     """The rows that ``identify`` accepts, all columns, ``declared`` replaced by what it found.
 
-    Verdicts are by id and text; rows with a null id take part like others."""
-    keyed = docs.withColumn("_key", F.concat_ws("/", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.xxhash64(text_col, declared, host).cast("string")))
-    found = identify(keyed, id_col="_key", text_col=text_col, declared=F.col(declared), host_col=F.col(host), **kw)
-    kept = found.where("accepted").select(F.col("id").alias("_kept"), F.col("lang").alias("_lang")).distinct()
-    out = keyed.join(kept.hint("shuffle_hash"), F.col("_key") == F.col("_kept"))
-    return out.withColumn(declared, F.col("_lang")).select(*docs.columns)
+    Verdicts are by a hash of id, text, ``declared`` and host; rows with a null id take part like others,
+    repeated rows stay repeated, null texts go, and an empty table stays empty."""
+    (key,) = private(docs, "row_key")
+    keyed = docs.withColumn(key, F.xxhash64(id_col, text_col, declared, host))
+    kept, lang = private(keyed, "kept_key", "found_lang")
+    found = identify(keyed, id_col=key, text_col=text_col, declared=F.col(declared), host_col=F.col(host), **kw)
+    found = found.where("accepted").select(F.col("id").alias(kept), F.col("lang").alias(lang)).distinct()
+    out = keyed.join(found.hint("shuffle_hash"), F.col(key) == F.col(kept))
+    return out.withColumn(declared, F.col(lang)).select(*docs.columns)

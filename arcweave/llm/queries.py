@@ -26,10 +26,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .langid import address_suffix, declared_language, host, identify
+    from .langid import address_suffix, declared_language, host, identify, page_text
 
-    pages = table(spark, sf_dir, "pages")
-    return identify(pages, id_col="page_id", text_col="html", declared=declared_language("html"), suffix=address_suffix("url"), host_col=host("url")).withColumnRenamed("id", "page_id")
+    pages = table(spark, sf_dir, "pages").withColumns({"declared": declared_language("html"), "text": page_text("html")})
+    return identify(pages, id_col="page_id", declared=F.col("declared"), suffix=address_suffix("url"), host_col=host("url")).withColumnRenamed("id", "page_id")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

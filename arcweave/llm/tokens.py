@@ -39,7 +39,7 @@ def by_bytes(pieces: list[str], batch_bytes: int) -> Iterator[list[str]]:
     run, size = [], 0
     for p in pieces:
         run.append(p)
-        size += len(p)
+        size += len(p) if p.isascii() else len(p.encode("utf-8", "replace"))
         if size >= batch_bytes:
             yield run
             run, size = [], 0
