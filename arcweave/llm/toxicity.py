@@ -1,11 +1,12 @@
 """Toxicity by weak supervision.
 
 Lexicon voters (words and word beginnings mined from labelled training rows) and pattern
-voters fire or abstain on every training row. A generative model with one hidden class
-estimates each voter's rates of firing by EM over the firing patterns of all training rows,
-and the voters' correlations given the class; correlated voters share their weight. A linear
-classifier is then trained on the posterior labels of a bounded sample, and scores whole
-texts. Labels, language, source and id are never features."""
+voters fire or abstain on every training row; the given label is one more voter, which abstains
+where there is none. A generative model with one hidden class estimates each voter's rates,
+the labels' too, by EM over the firing patterns of all training rows, and the voters'
+correlations given the class; correlated voters share their weight. A linear classifier is then
+trained on the posterior labels of bounded samples of labelled rows and of unlabelled training
+rows on which a voter fires, and scores whole texts. Labels, language, source and id are never features."""
 
 from __future__ import annotations
 
@@ -92,8 +93,11 @@ def sample_labels(labels: DataFrame, *, id_col: str, label_col: str, most: int)
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def _mine(sample: DataFrame, *, least: int, lexicon: int, features: int) -> tuple[list[str], list[str], tuple[int, int]]:
-    """Voter entries and classifier features, from (text, label) rows; both lists are bounded."""
+def _mine(sample: DataFrame, *, least: int, least_share: float) -> tuple[list[str], list[str], tuple[int, int]]:
+    """Voter entries and classifier features, from (text, label) rows; the sample's words bound both.
+
+    A voter has odds of over e**2 and fires on ``least_share`` of the toxic rows; a beginning that is a voter
+    stands for all longer ones whose odds are not clearly (e times) higher. A feature has odds of over e either way."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, pos, neg, total = Features(), Counter(), Counter(), [0, 0]
@@ -112,9 +116,14 @@ def _mine(sample: DataFrame, *, least: int, lexicon: int, features: int) -> tupl
         return [], [], (pos, neg)
     odds = f"log((pos + 0.5) / ({pos} - pos + 0.5)) - log((neg + 0.5) / ({neg} - neg + 0.5))"
     ranked = counts.where("name is not null").selectExpr("name", "pos", "neg", f"{odds} as odds")
-    votes = ranked.where(f"odds > 2 and pos >= {least}").orderBy(F.desc("pos"), "name").limit(lexicon).collect()
-    strong = ranked.where("abs(odds) > 1").orderBy(F.desc(F.abs("odds") * F.log1p(F.col("pos") + F.col("neg"))), "name").limit(features).collect()
-    return [r["name"] for r in votes], [r["name"] for r in strong], (pos, neg)
+    votes: dict[str, float] = {}
+    able = ranked.where(f"odds > 2 and pos >= {max(least, least_share * pos)}").collect()
+    for r in sorted(able, key=lambda r: (len(r["name"].rstrip("*")), not r["name"].endswith("*"), r["name"])):
+        starts = [r["name"][:k] + "*" for k in (4, 5, 6) if len(r["name"].rstrip("*")) >= k]
+        if all(votes.get(x, -np.inf) < r["odds"] - 1 for x in starts):
+            votes[r["name"]] = r["odds"]
+    strong = [r[0] for r in ranked.where("abs(odds) > 1").select("name").collect()]
+    return sorted(votes), sorted(strong), (pos, neg)
 
 
 def _firing(only: dict[str, int]):
@@ -131,64 +140,75 @@ def _firing(only: dict[str, int]):
 
 
 class LabelModel:
-    """One hidden class; voters fire with rate a given 1 and b given 0; weights for correlation."""
+    """One hidden class. Voters fire with rate a given 1 and b given 0; a given label, if there is one, is 1
+    with rates ``gold``. Voters have weights for their correlation."""
 
-    def __init__(self, prior: float, a: np.ndarray, b: np.ndarray):
-        self.prior, self.a, self.b, self.weight = prior, a, b, np.ones(len(a))
+    def __init__(self, prior: float, a: np.ndarray, b: np.ndarray, gold: tuple[float, float] = (0.95, 0.05)):
+        self.prior, self.a, self.b, self.gold, self.weight = prior, a, b, gold, np.ones(len(a))
 
-    def log_odds(self, fired: list[list[int]]) -> np.ndarray:
+    def log_odds(self, fired: list[list[int]], given: np.ndarray) -> np.ndarray:
+        """given: 1, 0, or -1 where no label is."""
         on = self.weight * (np.log(self.a) - np.log(self.b))
         off = self.weight * (np.log1p(-self.a) - np.log1p(-self.b))
         base = np.log(self.prior / (1 - self.prior)) + off.sum()
-        delta = on - off
-        return np.array([base + delta[f].sum() for f in map(np.array, [x or [] for x in fired], [int] * len(fired))]) if len(fired) else np.empty(0)
-
-    def expect(self, patterns: DataFrame) -> np.ndarray:
-        """Posterior-weighted counts: [class, voter, voter] of pairs; the diagonal has single
-        voters, and the last row and column all rows. One bounded row a partition."""
+        size = np.fromiter(map(len, fired), np.int64, len(fired))
+        flat = np.array([j for f in fired for j in f], np.int64)
+        votes = np.bincount(np.repeat(np.arange(len(fired)), size), (on - off)[flat], len(fired))
+        g1, g0 = self.gold
+        return base + votes + np.where(given == 1, np.log(g1 / g0), np.where(given == 0, np.log((1 - g1) / (1 - g0)), 0.0))
+
+    def expect(self, patterns: DataFrame, pairs: bool = False) -> dict[tuple[int, int, int], float]:
+        """Posterior-weighted counts by (class, voter, voter): of single voters (i, i), all rows (m, m), given
+        labels that are 1 (m + 1, m + 1) or anything (m + 2, m + 2), and of pairs if asked for. Sparse sums."""
         m, model = len(self.a), self
+        wide = m + 3
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((2, m + 1, m + 1))
             for batch in batches:
-                fired = batch.column("fired").to_pylist()
+                fired, given = batch.column("fired").to_pylist(), batch.column("key").to_numpy(zero_copy_only=False)
                 n = batch.column("n").to_numpy(zero_copy_only=False)
-                p = 1 / (1 + np.exp(-np.clip(model.log_odds(fired), -500, 500)))
-                for f, k, q in zip(fired, n, p, strict=True):
-                    at = np.array([*f, m])
-                    grid = np.ix_(at, at)
-                    total[1][grid] += k * q
-                    total[0][grid] += k * (1 - q)
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["at", "x"])
-
-        out = np.zeros((2, m + 1, m + 1))
-        for r in patterns.mapInArrow(tidy(run), "at long, x double").groupBy("at").agg(F.sum("x")).collect():
-            out.ravel()[r[0]] = r[1]
-        return out
+                p = 1 / (1 + np.exp(-np.clip(model.log_odds(fired, given), -500, 500)))
+                codes, weights = [], []
+                for f, y, k, q in zip(fired, given.tolist(), n.tolist(), p.tolist(), strict=True):
+                    at = np.array([*f, m, *([m + 2] if y >= 0 else []), *([m + 1] if y == 1 else [])], np.int64)
+                    code = (at[:, None] * wide + at).ravel() if pairs else at * (wide + 1)
+                    codes += [code, code + wide * wide]
+                    weights += [np.full(len(code), k * (1 - q)), np.full(len(code), k * q)]
+                if codes:
+                    at, of = np.unique(np.concatenate(codes), return_inverse=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.bincount(of, np.concatenate(weights)))], names=["at", "x"])
+
+        found = patterns.mapInArrow(tidy(run), "at long, x double").groupBy("at").agg(F.sum("x")).collect()
+        return {(at // (wide * wide), at // wide % wide, at % wide): x for at, x in found}
 
     def fit(self, patterns: DataFrame, rounds: int) -> LabelModel:
+        """EM over (key, fired, n): the given label or -1, the voters that fire, and how many rows."""
         m = len(self.a)
         for _ in range(rounds):
             e = self.expect(patterns)
-            n0, n1 = e[0, m, m], e[1, m, m]
-            self.a = np.clip((e[1].diagonal()[:m] + 0.5) / (n1 + 1), 1e-4, 1 - 1e-4)
-            self.b = np.clip((e[0].diagonal()[:m] + 0.05) / (n0 + 1), 1e-6, 1 - 1e-4)
+            n0, n1 = e.get((0, m, m), 0.0), e.get((1, m, m), 0.0)
+            self.a = np.clip([(e.get((1, j, j), 0.0) + 0.5) / (n1 + 1) for j in range(m)], 1e-4, 1 - 1e-4)
+            self.b = np.clip([(e.get((0, j, j), 0.0) + 0.05) / (n0 + 1) for j in range(m)], 1e-6, 1 - 1e-4)
+            self.gold = tuple(float(np.clip((e.get((y, m + 1, m + 1), 0.0) + s) / (e.get((y, m + 2, m + 2), 0.0) + 1), 1e-3, 1 - 1e-3)) for y, s in ((1, 0.95), (0, 0.05)))
             self.prior = float(np.clip((n1 + 0.5) / (n0 + n1 + 1), 1e-4, 0.5))
-        e = self.expect(patterns)
-        for y, rate in ((1, self.a), (0, self.b)):
-            n = max(e[y, m, m], 1.0)
-            joint = e[y, :m, :m] / n - np.outer(rate, rate)
-            spread = np.sqrt(np.outer(rate * (1 - rate), rate * (1 - rate)))
-            rho = np.clip(joint / np.maximum(spread, 1e-9), 0, 1)
-            np.fill_diagonal(rho, 0)
-            if y:
-                self.correlation = rho
-                self.weight = 1 / (1 + np.where(rho > 0.3, rho, 0).sum(1))
+        e = self.expect(patterns, pairs=True)
+        together = np.zeros(m)
+        self.correlation: dict[tuple[int, int, int], float] = {}
+        for (y, i, j), x in e.items():
+            rate, n = (self.a if y else self.b), max(e[y, m, m], 1.0)
+            if i != j and i < m and j < m and x >= 5:  # fewer tell nothing
+                spread = np.sqrt(rate[i] * (1 - rate[i]) * rate[j] * (1 - rate[j]))
+                self.correlation[y, i, j] = float(np.clip((x / n - rate[i] * rate[j]) / max(spread, 1e-9), 0, 1))
+        strongest: dict[tuple[int, int], float] = {}
+        for (_, i, j), rho in self.correlation.items():
+            strongest[i, j] = max(strongest.get((i, j), 0.0), rho)
+        for (i, _), rho in sorted(strongest.items()):
+            together[i] += rho if rho > 0.3 else 0.0
+        self.weight = 1 / (1 + together)
         return self
 
 
-def _train(rows: list, size: int, *, l2: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, float]:
+def _train(rows: list, size: int, *, l2: float = 0.1, steps: int = 400) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by Adam, full batch. rows: (features, posterior)."""
     lengths = np.array([len(f) for f, _ in rows])
     flat = np.array([x for f, _ in rows for x in f], int)
@@ -206,44 +226,46 @@ def _train(rows: list, size: int, *, l2: float = 1e-3, steps: int = 400) -> tupl
     return w[:size], float(w[size])
 
 
-def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", most_labels: int = 40_000, least: int = 5, lexicon: int = 160, features: int = 8192, rounds: int = 4, label_trust: float = 0.95) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", most_labels: int = 40_000, most_unlabelled: int = 10_000, least: int = 5, least_share: float = 0.02, rounds: int = 4) -> DataFrame:
     """Per row: doc_id, held_out (crc32 of the id mod 5 is 0), score in [0, 1], predicted.
 
-    ``most_labels`` bounds the labelled sample from which the lexicon and the classifier are
-    fitted; voters' statistics are over all training rows. Null texts count as empty, and get
-    the score of a text without features; null ids are not held out. Without labels of both
-    classes every score is the share of toxic labels (0 without labels)."""
+    ``most_labels`` and ``most_unlabelled`` bound the samples (by a hash of the id) from which the lexicon
+    (labelled rows only) and the classifier are fitted; voters' statistics are over all training rows. Null
+    texts count as empty, and get the score of a text without features; null ids are not held out; repeated
+    rows are scored each, and count each. Without labels of both classes every score is the share of toxic
+    labels (0 without labels). An empty table has an empty result."""
     arrow_rows(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     chosen = materialize(sample_labels(labels, id_col=label_id_col, label_col=label_col, most=most_labels).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("long").alias("label")))
     sample = texts.join(F.broadcast(chosen), "doc_id")  # at most most_labels narrow rows are broadcast
-    voters, names, (pos, neg) = _mine(sample, least=least, lexicon=lexicon, features=features)
+    voters, names, (pos, neg) = _mine(sample, least=least, least_share=least_share)
     if not pos or not neg:
         share = 1.0 if pos else 0.0
         return texts.select("doc_id", held_out.alias("held_out"), F.lit(share).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"))
     number = {x: i for i, x in enumerate(voters)}
     m = len(voters) + len(PATTERNS)
     fire = _firing(number)
-    patterns = texts.where(~held_out).select("doc_id", "text").mapInArrow(tidy(fire, keep=True), "key long, fired array<int>").groupBy("fired").agg(F.count("*").alias("n"))
-    patterns = materialize(patterns)
-    voted = materialize(sample.select((F.col("doc_id") * 0 + F.col("label")).alias("key"), "text").mapInArrow(tidy(fire, keep=True), "key long, fired array<int>").groupBy("key", "fired").agg(F.count("*").alias("n")))
-    first = {(r[0], r[1]): r[2] for r in voted.select("key", F.explode("fired").alias("j"), "n").groupBy("key", "j").agg(F.sum("n")).collect()}
+    trained = texts.where(~held_out).join(F.broadcast(chosen), "doc_id", "left").withColumn("key", F.coalesce("label", F.lit(-1)))
+    patterns = materialize(trained.select("key", "text").mapInArrow(tidy(fire, keep=True), "key long, fired array<int>").groupBy("key", "fired").agg(F.count("*").alias("n")))
+    first = {(r[0], r[1]): r[2] for r in patterns.where("key >= 0").select("key", F.explode("fired").alias("j"), "n").groupBy("key", "j").agg(F.sum("n")).collect()}
     a = np.clip([(first.get((1, j), 0) + 0.5) / (pos + 1) for j in range(m)], 1e-4, 1 - 1e-4)
     b = np.clip([(first.get((0, j), 0) + 0.05) / (neg + 1) for j in range(m)], 1e-6, 1 - 1e-4)
     model = LabelModel(float(np.clip(pos / (pos + neg), 1e-4, 0.5)), np.array(a), np.array(b)).fit(patterns, rounds)
     column = {x: i for i, x in enumerate(names)}
-    trust = float(np.log(label_trust / (1 - label_trust)))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, votes = Features(column), Features(number)
-        for labels_, texts_ in text_batches(batches):
+        for given, texts_ in text_batches(batches):
             fired = [sorted(f | {len(number) + i for i, (_, test) in enumerate(PATTERNS) if test(t)}) for t, f in zip(texts_, votes.of_all(texts_), strict=True)]
-            z = model.log_odds(fired) + trust * (2 * np.array(labels_) - 1)
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(f) for f in seen.of_all(texts_)], pa.list_(pa.int32())), pa.array(p)], names=["features", "p"])
-
-    rows = [(r[0], r[1]) for r in sample.select("label", "text").mapInArrow(tidy(featured), "features array<int>, p double").collect()]  # bounded by most_labels
+            p = 1 / (1 + np.exp(-np.clip(model.log_odds(fired, np.array(given)), -30, 30)))
+            told = np.array([bool(f) or y >= 0 for f, y in zip(fired, given, strict=True)], bool)  # where all voters abstain there is nothing to learn
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(f) for f in seen.of_all(texts_)], pa.list_(pa.int32())), pa.array(p)], names=["features", "p"]).filter(pa.array(told))
+
+    others = texts.where(~held_out & F.col("doc_id").isNotNull()).select("doc_id").join(F.broadcast(chosen), "doc_id", "left_anti").distinct()
+    others = materialize(others.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_unlabelled))
+    taught = texts.join(F.broadcast(chosen.unionByName(others.withColumn("label", F.lit(-1).cast("long")))), "doc_id")
+    rows = [(r[0], r[1]) for r in taught.select("label", "text").mapInArrow(tidy(featured), "features array<int>, p double").collect()]  # bounded by the two samples
     rows.sort()
     weights, bias = _train(rows, len(names))
     shared = docs.sparkSession.sparkContext.broadcast((column, weights, bias))
