@@ -105,7 +105,8 @@ def _passages(span: int, shards: int, most: int = 4096):
                 asked = own.values
                 w, n = (asked.field(c).to_numpy() for c in ("w", "n"))
                 order = np.argsort(w)
-                found = np.flatnonzero(np.isin(g, w))
+                window, found = np.unique(g, return_index=True)
+                found = np.sort(found[np.isin(window, w)])  # a window that repeats is in a passage once
                 cuts = np.flatnonzero(np.diff(found, prepend=-2) > 1)
                 cuts = np.concatenate([np.arange(a, b, most) for a, b in zip(cuts, [*cuts[1:], len(found)], strict=True)]) if len(cuts) else cuts
                 ends = [*cuts[1:], len(found)]
@@ -113,46 +114,65 @@ def _passages(span: int, shards: int, most: int = 4096):
                 shard = np.array([text_name(np.array([i.as_py() & (2**64 - 1), k], np.uint64)) % shards for k in range(len(texts))], np.int64)
                 none = pa.nulls(len(texts), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array([i.as_py()] * len(texts), pa.int64()), pa.array(texts, pa.binary()), none, none], names=names)
-                window, first = np.unique(g[found], return_index=True)
-                at = shard[np.searchsorted(cuts, first, "right") - 1] if len(first) else np.empty(0, np.int64)
+                window = g[found]
+                at = np.repeat(shard, np.diff([*cuts, len(found)])) if len(cuts) else shard
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(window), i.as_py())), pa.nulls(len(window), pa.binary()), pa.array(window), pa.array(n[order][np.searchsorted(w[order], window)])], names=names)
 
     return run
 
 
 class Automaton:
-    """Aho-Corasick over words; a match is a window of ``span`` words of a passage, and has its owner."""
+    """Aho-Corasick over words. A passage's phrases are its consecutive halves of a window: every window
+    of a passage holds one whole. Where a phrase matches, the match is carried on in both directions as
+    far as document and passage agree word by word; ``span`` words or more make an occurrence."""
 
     def __init__(self, span: int):
-        self.span, self.numbers, self.ready = span, {}, False
+        self.span, self.size, self.numbers, self.ready = span, max(1, span // 2), {}, False
         self.inner = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        self.passages: list[tuple[int, np.ndarray]] = []
 
     def add(self, owner: int, words: list[bytes]) -> None:
         number = self.numbers
         ids = [number.setdefault(w, len(number) + 1) for w in words]
-        for i in range(len(ids) - self.span + 1):
-            window = tuple(ids[i : i + self.span])
-            if owner < self.inner.get(window, LAST + 1):
-                self.inner.add_word(window, owner)
+        for i in range(0, len(ids) - self.size + 1, self.size):
+            phrase = tuple(ids[i : i + self.size])
+            places = self.inner.get(phrase, None)
+            if places is None:
+                self.inner.add_word(phrase, [(len(self.passages), i)])
+            else:
+                places.append((len(self.passages), i))
+        self.passages.append((owner, np.array(ids, np.int32)))
 
     def covered(self, doc: int, words: list[bytes]) -> tuple[list[int], list[int]]:
-        """Runs of words (first, end) under matches whose owner is below ``doc``."""
+        """Runs of words (first, end) that are occurrences of passages whose owner is below ``doc``."""
         if not self.ready and len(self.inner):
             self.inner.make_automaton()
             self.ready = True
-        lo: list[int] = []
-        hi: list[int] = []
-        if self.ready and len(words) >= self.span:
-            get = self.numbers.get
-            for end, owner in self.inner.iter(tuple([get(w, 0) for w in words])):
-                if owner < doc:
-                    start = end - self.span + 1
-                    if hi and start <= hi[-1]:
-                        hi[-1] = end + 1
-                    else:
-                        lo.append(start)
-                        hi.append(end + 1)
-        return lo, hi
+        if not self.ready or len(words) < self.span:
+            return [], []
+        get = self.numbers.get
+        ids = tuple([get(w, 0) for w in words])  # 0 is no word of a passage
+        own, done, runs = None, {}, []
+        for end, places in self.inner.iter(ids):
+            at = end - self.size + 1
+            for passage, i in places:
+                owner, other = self.passages[passage]
+                line = passage, at - i
+                if owner >= doc or at < done.get(line, 0):
+                    continue
+                if own is None:
+                    own = np.array(ids, np.int32)
+                back = min(at, i)
+                apart = np.flatnonzero(own[at - back : at] != other[i - back : i])
+                lo = at - back + int(apart[-1]) + 1 if len(apart) else at - back
+                on = min(len(own) - at, len(other) - i)
+                apart = np.flatnonzero(own[at : at + on] != other[i : i + on])
+                hi = at + int(apart[0]) if len(apart) else at + on
+                done[line] = hi
+                if hi - lo >= self.span:
+                    runs.append((lo, hi))
+        runs.sort()
+        return [lo for lo, _ in runs], [hi for _, hi in runs]
 
 
 def _locate(span: int):
@@ -194,13 +214,14 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("name"), pa.array(gone, pa.int64()), pa.array([_sha(x) for x in left], pa.string()), pa.array(texts, pa.string())], names=["id", "name", "n_removed", "sha", "kept"])
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = 50, with_text: bool = False, shard_windows: int = 8192, chunk_docs: int = 4096) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = 50, with_text: bool = False, shard_windows: int = 65536, chunk_docs: int = 4096) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256 (and kept, the text, if asked for).
 
     A word goes if a window of ``span`` consecutive words that covers it also starts in a row
     with a smaller id. Null texts have no words. Null ids come after all others; rows of one
     id do not remove each other's words; equal rows give equal results; an empty table gives an
-    empty result. A shard's automaton holds about ``shard_windows`` windows (2.4 KB each)."""
+    empty result. A shard's passages hold about ``shard_windows`` windows; its automaton has
+    a node for each of their words at most."""
     arrow_rows(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     survey = materialize(rows.mapInArrow(tidy(_survey(span)), "id long, name long, n_words long, sha string, anchors array<long>"))
