@@ -26,9 +26,10 @@ _TAG = re.compile(
 )
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}")
-_RAW = {"script", "style", "template", "noscript", "iframe", "svg", "math", "object", "canvas", "textarea", "select"}
+#: Their content is no text of the page: code, drawings, form values. All else is kept, or left out by the field.
+_RAW = {"script", "style", "template", "iframe", "svg", "canvas", "textarea", "select"}
 _VOID = {"img", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "source", "track", "param"}
-_INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var nobr".split())
+_INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var nobr math mi mo mn ms mtext mrow msup msub mfrac msqrt semantics annotation object".split())
 #: What an opening tag closes, if it is open above the nearest of the containers.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head", "title"}}
 _CONTAINERS = {"ul", "ol", "dl", "table", "html"}
@@ -83,6 +84,8 @@ def blocks(html: str) -> list[Block]:
             continue
         tag, end = m["tag"].lower(), m["end"]
         if not end and tag in _RAW:
+            if tag == "svg" and (m["attrs"] if m["attrs"] is not None else m["rest"]).rstrip().endswith("/"):
+                continue  # closed at once
             stop = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(html, at)
             at = stop.end() if stop else len(html)
             pieces.append(" ")
