@@ -45,9 +45,14 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .secrets import BASE, find, spans_text
+    from .common import materialize
+    from .secrets import BASE, find, spans_text, update
 
-    paths, _ = find(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    # Two passes through a stored ledger: to the first every blob is new; the second finds no pair of blob and
+    # rule version that the ledger lacks, scans nothing, and joins the ledger's findings back to all rows.
+    ledger = materialize(update(docs, None))
+    paths, _ = find(docs, ledger=ledger)
     base = tuple(r.kind for r in BASE)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return paths.select(F.col("path").alias("doc_id"), *map(count, base), F.sha2(spans_text("spans", base), 256).alias("base_sha256"), spans_text("spans").alias("spans"))

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, private
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -42,13 +44,13 @@ def with_blobs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """Spans of blobs (blob, text): one row (blob, kind, at, start, end) per kept match.
+    """Spans of blobs (blob, text, kinds: what to scan for): one row (blob, kind, at, start, end) per kept match.
 
     The pieces between matches and the matches themselves give all offsets by a running
     sum of lengths in code points."""
     kinds = []
     for r in rules:
-        hit = F.regexp_like("text", F.lit(r.pattern))
+        hit = F.array_contains("kinds", r.kind) & F.regexp_like("text", F.lit(r.pattern))
         kinds.append(
             F.struct(
                 F.lit(r.kind).alias("kind"),
@@ -65,58 +67,61 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return each.where("size is not null and judged >= least").selectExpr("blob", "kind", "at", "`end` - size as start", "`end`")
 
 
-def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
-    """Paths and new ledger rows.
+def unseen(first: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
+    """path, blob, kinds: the blobs (one path each) with the kinds whose rule version the ledger lacks."""
+    wanted = F.array(*[F.lit(r.kind) for r in rules])
+    if ledger is None:
+        return first.withColumn("kinds", wanted)
+    now = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
+    known = ledger.where(F.array_contains(now, F.struct("kind", "version"))).groupBy("blob").agg(F.collect_set("kind").alias("known"))
+    pairs = first.join(known, "blob", "left").withColumn("kinds", F.array_except(wanted, F.coalesce("known", F.array().cast("array<string>"))))
+    return pairs.where(F.size("kinds") > 0).select("path", "blob", "kinds")
 
-    paths: path, blob, spans (array of kind, start, end by start, then rule order; empty,
-    never null), one row for each input row. new ledger: blob, kind, version, spans for each
-    pair that was not in ``ledger``; append it, and a later call scans only what is new.
-    A null text is the empty blob. Null and repeated ids keep their rows."""
-    spark = docs.sparkSession
+
+def update(docs: DataFrame, ledger: DataFrame | None, *, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """New ledger rows (blob, kind, version, spans), one for each pair of a blob and a rule version that
+    ``ledger`` lacks. Texts move once, to the blobs that have such pairs, whatever the number of rules."""
     texts = with_blobs(docs, id_col, text_col)
-    paths = texts.select("path", "blob")
-    first = paths.groupBy("blob").agg(F.min("path").alias("path"))
-    if ledger is None:
-        scanned = _scan_unseen(texts, first, rules)
-        new = None
-        findings = scanned
-    else:
-        parts = []
-        for r in rules:
-            known = ledger.where((F.col("kind") == r.kind) & (F.col("version") == r.version)).select("blob").distinct()
-            unseen = first.join(known, "blob", "left_anti")
-            parts.append(_scan_unseen(texts, unseen, (r,)))
-        scanned = parts[0]
-        for p in parts[1:]:
-            scanned = scanned.unionByName(p)
-        old = ledger.join(spark.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version int").hint("broadcast"), ["kind", "version"], "left_semi")
-        findings = scanned.unionByName(old.select("blob", "kind", F.posexplode("spans").alias("at", "s")).select("blob", "kind", "at", "s.start", "s.end"))
-        new = [first.join(ledger.where((F.col("kind") == r.kind) & (F.col("version") == r.version)).select("blob").distinct(), "blob", "left_anti").selectExpr("blob", f"'{r.kind}' as kind", f"{r.version} as version") for r in rules]
-    ledger_rows = _ledger(first, scanned, rules, new)
+    first = texts.groupBy("blob").agg(F.min("path").alias("path"))
+    pairs = unseen(first, ledger, rules)
+    if ledger is not None:
+        pairs = materialize(pairs)
+        if pairs.isEmpty():  # then no text is moved or scanned
+            return ledger.select("blob", "kind", "version", "spans").where("false")
+    narrow = pairs.select(F.col("blob").alias("b"), F.col("path").alias("p"), "kinds").hint("shuffle_hash")
+    one = texts.join(narrow, F.col("path").eqNullSafe(F.col("p")) & (F.col("blob") == F.col("b")))
+    scanned = scan(one.select("blob", "text", "kinds"), rules)
+    spans = scanned.groupBy("blob", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "start", "end"))), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
+    version = F.create_map(*[x for r in rules for x in (F.lit(r.kind), F.lit(r.version))])
+    rows = pairs.select("blob", F.explode("kinds").alias("kind")).withColumn("version", version[F.col("kind")])
+    return rows.join(spans, ["blob", "kind"], "left").select("blob", "kind", "version", F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"))
+
+
+def report(docs: DataFrame, ledger: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """path, blob, spans (kind, start, end by start, then rule order; empty, never null): the ledger's
+    findings under the rules' versions, joined back to every row. No text is scanned."""
+    paths = with_blobs(docs, id_col, text_col).select("path", "blob")
+    now = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
+    held = ledger.where((F.size("spans") > 0) & F.array_contains(now, F.struct("kind", "version"))).dropDuplicates(["blob", "kind", "version"])
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
-    by_blob = findings.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", order[F.col("kind")].alias("rank"), "end", "kind"))).alias("spans"))
+    each = held.select("blob", "kind", F.explode("spans").alias("s"))
+    by_blob = each.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("s.start", order[F.col("kind")].alias("rank"), "s.end", "kind"))).alias("spans"))
     # Hidden partitioning: both sides are dealt anew, so that a blob with very many paths can be split.
     by_blob = by_blob.withColumn("blob", F.concat("blob", F.lit("")))
-    out = paths.join(by_blob, "blob", "left").select("path", "blob", F.coalesce(F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))), F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")).alias("spans"))
-    return out, ledger_rows
+    return paths.join(by_blob, "blob", "left").select("path", "blob", F.coalesce(F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))), F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")).alias("spans"))
 
 
-def _scan_unseen(texts: DataFrame, unseen: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """Scan one text of each unseen blob; the narrow side is hashed, so that texts need no sort."""
-    unseen = unseen.select(F.col("blob").alias("b"), F.col("path").alias("p")).hint("shuffle_hash")
-    one = texts.join(unseen, F.col("path").eqNullSafe(F.col("p")) & (F.col("blob") == F.col("b")), "left_semi")
-    return scan(one.select("blob", "text"), rules)
-
+def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
+    """Paths and new ledger rows.
 
-def _ledger(first: DataFrame, scanned: DataFrame, rules: tuple[Rule, ...], new: list[DataFrame] | None) -> DataFrame:
-    if new is None:
-        pairs = first.select("blob", F.explode(F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])).alias("r")).select("blob", "r.kind", "r.version")
-    else:
-        pairs = new[0]
-        for p in new[1:]:
-            pairs = pairs.unionByName(p)
-    spans = scanned.groupBy("blob", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "start", "end"))), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
-    return pairs.join(spans, ["blob", "kind"], "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")))
+    paths: path, blob, spans (array of kind, start, end by start, then rule order; empty,
+    never null), one row for each input row. new ledger: blob, kind, version, spans for each
+    pair that was not in ``ledger``, written to the shared folder; append it, and a later call scans
+    only what is new: new texts under all rules, and old ones under rules whose version changed.
+    A null text is the empty blob. Null and repeated ids keep their rows; an empty table has empty results."""
+    new = materialize(update(docs, ledger, id_col=id_col, text_col=text_col, rules=rules))
+    whole = new if ledger is None else ledger.select(*new.columns).unionByName(new)
+    return report(docs, whole, id_col=id_col, text_col=text_col, rules=rules), new
 
 
 def spans_text(spans: str, kinds: tuple[str, ...] | None = None) -> F.Column:
@@ -128,11 +133,13 @@ def spans_text(spans: str, kinds: tuple[str, ...] | None = None) -> F.Column:
 def redact(docs: DataFrame, *, text_col: str = "text", rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, id_col: str = "doc_id", mark: str = "[SECRET]") -> DataFrame:
     """The documents with every span of ``find`` replaced by ``mark`` (overlaps by one mark).
 
-    Rows whose text has no finding are returned as they are."""
+    Rows whose text has no finding, null texts too, are returned as they are; repeated rows stay repeated,
+    and an empty table stays empty."""
     paths, _ = find(docs, id_col=id_col, text_col=text_col, ledger=ledger, rules=rules)
-    hits = paths.where(F.size("spans") > 0).select(F.col("path").alias("_p"), F.col("blob").alias("_b"), F.col("spans").alias("_s")).dropDuplicates(["_p", "_b"])
-    blob = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    joined = docs.join(hits.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_p")) & (blob == F.col("_b")), "left")
+    path, blob, spans = private(docs, "secret_path", "secret_blob", "secret_spans")
+    hits = paths.where(F.size("spans") > 0).select(F.col("path").alias(path), F.col("blob").alias(blob), F.col("spans").alias(spans)).dropDuplicates([path, blob])
+    own = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    joined = docs.join(hits.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(path)) & (own == F.col(blob)), "left")
     # Fold spans, in order of start, into (text so far, where it ended).
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
 
@@ -141,5 +148,5 @@ def redact(docs: DataFrame, *, text_col: str = "text", rules: tuple[Rule, ...] =
         add = F.when(inside, F.lit("")).otherwise(F.concat(F.substring(F.col(text_col), (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int")), F.lit(mark)))
         return F.struct(F.concat(state["out"], add).alias("out"), F.greatest(state["at"], s["end"]).alias("at"))
 
-    done = F.aggregate("_s", start, step, lambda st: F.concat(st["out"], F.substring(F.col(text_col), (st["at"] + 1).cast("int"), F.length(text_col))))
-    return joined.withColumn(text_col, F.when(F.col("_s").isNull(), F.col(text_col)).otherwise(done)).select(*docs.columns)
+    done = F.aggregate(spans, start, step, lambda st: F.concat(st["out"], F.substring(F.col(text_col), (st["at"] + 1).cast("int"), F.length(text_col))))
+    return joined.withColumn(text_col, F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(done)).select(*docs.columns)

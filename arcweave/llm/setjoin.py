@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, WordHash, arrow_rows, connected_components, finish, fresh, gram_hashes, look_up, materialize, tidy
+from .common import MIX, WordHash, arrow_rows, connected_components, finish, fresh, gram_hashes, look_up, materialize, private, tidy
 from .tokens import text_batches
 
 _SHORT = np.uint64(0x51ED270B2F3A9C4D)
@@ -462,3 +462,19 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     own = named.join(found, F.col("name") == F.col("node"), "left").selectExpr("name", "coalesce(low, doc_id) as component_id", "many")
     out = look_up(members, materialize(own), "name", "component_id", "many")
     return out.selectExpr("doc_id", "n as n_shingles", "if(n = 0, doc_id, component_id) as component_id")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """The rows of the first document of each component, by id (nulls last), then by a hash of the text; all columns.
+
+    Rows are told apart by id and text: of rows with one id and different texts each is a document of its
+    own, rows alike in both are one document and stay together. Rows without words stay; an empty table
+    stays empty. What goes are keys, one narrow row a document, so a large component is no large task."""
+    (key,) = private(docs, "row_key")
+    keyed = docs.withColumn(key, F.xxhash64(id_col, text_col))
+    groups = components(keyed, id_col=key, text_col=text_col, **kw).select(F.col("doc_id").alias("k"), F.col("component_id").alias("g")).distinct()
+    ids = keyed.select(F.col(key).alias("own"), F.col(id_col).cast("long").alias("id")).distinct()
+    order = F.struct(F.col("id").isNull(), F.coalesce("id", F.lit(0)), "k")
+    first = groups.join(ids, F.col("k") == F.col("own")).groupBy("g").agg(F.min(order)["k"].alias("k"))
+    (kept,) = private(keyed, "kept_key")
+    return keyed.join(first.select(F.col("k").alias(kept)).hint("shuffle_hash"), F.col(key) == F.col(kept), "left_semi").select(*docs.columns)
