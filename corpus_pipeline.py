@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcweave.llm import decontam, langid, packing, secrets, setjoin
-from arcweave.llm.common import materialize
+from arcweave.llm.common import materialize, release
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -21,9 +21,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of five-word shingle Jaccard 0.8 or more."""
-    groups = setjoin.components(docs, k=5, percent=80).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_group"))
-    later = groups.where("_id <> _group").select("_id").distinct()
-    return docs.join(later.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_anti").select(*COLUMNS)
+    return setjoin.keep_one(docs, k=5, percent=80).select(*COLUMNS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,6 +54,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before is not None:
+            release(before)
+        before = docs
+    out = STAGES[-1][1](spark, docs, sf_dir)  # reads only the pieces that it has written
+    release(docs)
+    return out
