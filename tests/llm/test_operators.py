@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arcweave.llm import decontam, html, langid, packing, passages, secrets, setjoin, tokens, topk, toxicity
-from arcweave.llm.common import connected_components, gram_hashes
+from arcweave.llm.common import connected_components, gram_hashes, look_up, materialize, release
 
 RNG = random.Random(5)
 VOCAB = ["".join(RNG.choice("abcdefghij") for _ in range(RNG.randint(2, 7))) for _ in range(400)]
@@ -625,3 +625,219 @@ def test_pruning_keeps_every_score():
         q = np.unique([ix.vocabulary[w] for w in words(80, r) if w in ix.vocabulary])
         exact = dense[q].sum(0)
         assert [(u, pytest.approx(s)) for u, s in ix.search(q, 0.3)] == [(int(u), exact[u]) for u in np.flatnonzero(exact >= 0.3 - 1e-9)]
+
+
+# Rows that are told apart, and names that clash --------------------------------------------------------
+
+
+def clashing(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    taken = "row_key kept_key found_lang leaked_key secret_path secret_blob secret_spans _key _kept _lang _p _b _s _leaked _id _group hot found other hot_key"
+    return df.withColumns({c: F.lit("mine") for c in taken.split()})
+
+
+def test_clashing_names_and_repeated_ids(spark):
+    r = random.Random(21)
+    item = text(30, r)
+    plain = [text(60, r) for _ in range(6)]
+    rows = [(i, x, "en", "s", 1) for i, x in enumerate(plain)]
+    rows += [(1, plain[0], "en", "s", 1), (2, plain[2] + " " + item, "en", "s", 1), (None, plain[3], "en", "s", 1), (None, text(50, r) + " " + item, "en", "s", 1), (9, "token=abcdefghijklmnop x", "en", "s", 1), (9, "token=abcdefghijklmnop x", "en", "s", 1), (10, None, "en", "s", 1), (11, "", "en", "s", 1)]
+    df = clashing(spark, rows)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    pairs = lambda d: Counter((x["doc_id"], x["text"]) for x in d.collect())
+    every = Counter((i, x) for i, x, *_ in rows)
+    near = setjoin.keep_one(df, k=5, percent=80)
+    assert near.columns == df.columns and {x["_group"] for x in near.collect()} == {"mine"}
+    assert pairs(near) == every - Counter([(1, plain[0]), (None, plain[3])])
+    clean = decontam.drop_leaked(df, bench)
+    assert clean.columns == df.columns and pairs(clean) == Counter({k: n for k, n in every.items() if item not in (k[1] or "")})
+    masked = secrets.redact(df)
+    assert masked.columns == df.columns and pairs(masked) == Counter((i, x.replace("token=abcdefghijklmnop", "[SECRET]") if x else x) for (i, x), n in every.items() for _ in range(n))
+    kept = langid.keep_identified(df)
+    assert kept.columns == df.columns and {x["_key"] for x in kept.collect()} == {"mine"}
+    assert pairs(kept) == Counter({k: n for k, n in every.items() if k[1]})
+    none = df.where("false")
+    for out in (setjoin.keep_one(none), decontam.drop_leaked(none, bench), secrets.redact(none), langid.keep_identified(none)):
+        assert out.columns == df.columns and out.count() == 0
+
+
+def test_look_up_of_hot_keys(spark):
+    rows = [(i, 7 if i % 3 else i) for i in range(300)] + [(999, None)]
+    df = spark.createDataFrame(rows, "i long, k long")
+    table = df.where("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("top")).where("k <> 9")
+    top: dict = {}
+    for i, k in rows:
+        if k is not None and k != 9:
+            top[k] = max(i, top.get(k, i))
+    got = {(x["i"], x["k"]): x["top"] for x in look_up(df, table, "k", "top", "n").collect()}
+    assert got == {(i, k): top.get(k) for i, k in rows}
+
+
+def test_materialized_tables_are_deleted(spark):
+    import os
+
+    df = materialize(spark.range(10).toDF("x"))
+    path = next(iter(df.inputFiles())).rsplit("/", 1)[0].removeprefix("file:").replace("///", "/")
+    assert df.count() == 10 and os.path.isdir(path)
+    release(df)
+    assert not os.path.exists(path)
+
+
+# Skipping ------------------------------------------------------------------------------------------------
+
+
+def test_wand_skips_postings_and_shards_agree(spark):
+    r = random.Random(31)
+    pool = {k: ["".join(r.choice(c) for _ in range(4)) for _ in range(150)] for k, c in enumerate(("abcdef", "ghijkl", "mnopqr"))}
+    items = [(k, " ".join(r.choices(pool[k % 3], k=30)) + ".") for k in range(120)]
+    ix = decontam.Index(items)
+    seen: dict = {}
+    for k in range(3):
+        q = np.unique([ix.vocabulary[w] for w in r.choices(pool[k], k=25) if w in ix.vocabulary])
+        ix.search(q, 1.0, seen)
+    assert seen["read"] < 0.7 * seen["postings"] and seen["live"] < 0.7 * seen["blocks"]
+    rows = [(i, " ".join(r.choices(pool[i % 3], k=100)) + (" " + items[i][1] if i % 2 else ""), "en", "s", 1) for i in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, many = (Counter((x["doc_id"], x["item_id"]) for x in decontam.find_leaks(frame(spark, rows), bench, shard_chars=n).collect()) for n in (1 << 22, 1500))
+    assert one == many and {(i, i) for i in range(1, 40, 2)} <= set(one)
+
+
+def test_set_join_skips_and_derives():
+    seen: dict = {}
+    r = random.Random(3)
+    base = [r.getrandbits(40) for _ in range(200)]
+    away = [r.getrandbits(40) for _ in range(24)]
+    other = base[:176] + away  # close to the base's copies, and not linked; what differs is frequent, so that prefixes do not tell
+    sets = [np.unique(np.array(base[176:] + away + [r.getrandbits(40) for _ in range(300)], np.uint64)) for _ in range(60)]
+    for of in (base, other) * 15:
+        sets.append(np.unique(np.array([x for x in of if r.random() > 0.01] + [r.getrandbits(40)], np.uint64)))
+    forest = setjoin.join_sets(sets, 90, seen)
+    assert len(forest) == 28 and all((x - y) % 2 == 0 and min(x, y) >= 60 for x, y in forest)
+    assert seen["derived"] > 50 and seen["skipped"] > 50
+
+
+def test_topk_skips_blocks():
+    r = np.random.default_rng(2)
+    centres = r.normal(size=(12, 16)) * 40
+    docs = np.floor(centres[r.integers(0, 12, 3000)] + r.normal(size=(3000, 16)) * 4).astype(np.int64)
+    ids = np.arange(3000)
+    seen: dict = {}
+    q = ids % 20 == 0
+    who, what, score = topk.tile_topk(ids, docs, ids[q], docs[q], 20, seen=seen)
+    assert seen["scored"] < 0.5 * seen["all"]
+    for i in ids[q][:40]:
+        s = docs @ docs[i]
+        want = sorted((-int(x), int(j)) for j, x in enumerate(s) if j != i)[:20]
+        assert sorted(zip((-score[who == i]).tolist(), what[who == i].tolist(), strict=True)) == want
+
+
+@pytest.mark.parametrize("rows", [[(0, [1.0, 2.0]), (0, [1.0, 1.0]), (0, [1.0, 1.0]), (1, [3.0, 0.0]), (2, [0.0, 3.0])]])
+def test_topk_of_repeated_rows(spark, rows):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert [tuple(x) for x in topk.search(df).orderBy("rank").collect()] == [(0, 1, 1, 64 * 192), (0, 2, 2, 64 * 192)]
+
+
+def test_passages_are_found_by_the_automaton_alone():
+    r = random.Random(5)
+    enc = lambda ws: [w.encode() for w in ws]
+    body = words(90, r)
+    a = passages.Automaton(50)
+    a.add(1, enc(body))
+    a.add(2, enc(["na"] * 50))
+    assert a.covered(5, enc(["x"] * 7 + body[10:80] + ["y"])) == ([7], [77])
+    assert a.covered(5, enc(body[:49])) == ([], []) and a.covered(1, enc(body)) == ([], [])
+    lo, hi = a.covered(9, enc(["na"] * 400))
+    assert {x for p, q in zip(lo, hi, strict=True) for x in range(p, q)} == set(range(400))
+
+
+# Ledger ---------------------------------------------------------------------------------------------------
+
+
+def test_ledger_scans_only_new_rule_versions(spark):
+    import dataclasses
+
+    rows = [(i, s, "en", "b", 1) for i, s in enumerate(SECRETS)] + [(50, SECRETS[0], "en", "b", 1), (51, None, "en", "b", 1)]
+    df = frame(spark, rows)
+    first, ledger = secrets.find(df, rules=secrets.BASE)
+    newer = tuple(dataclasses.replace(r, version=2, least=20) if r.kind == "assign" else r for r in secrets.BASE) + secrets.ADDED
+    out, new = secrets.find(df, rules=newer, ledger=ledger)
+    blobs = {hashlib.sha256((x or "").encode()).hexdigest() for _, x, *_ in rows}
+    assert {(x["blob"], x["kind"], x["version"]) for x in new.collect()} == {(b, k, v) for b in blobs for k, v in (("assign", 2), ("pem", 1), ("hub", 1))}
+    whole, _ = secrets.find(df, rules=newer)
+    assert Counter(map(str, out.collect())) == Counter(map(str, whole.collect())) != Counter(map(str, first.collect()))
+
+
+# Weak supervision and language by brute force ------------------------------------------------------------
+
+
+def test_label_model_is_plain_em(spark):
+    r = random.Random(6)
+    rows = []
+    for _ in range(400):
+        y = r.random() < 0.3
+        fired = [j for j, (a, b) in enumerate([(0.6, 0.02), (0.5, 0.05), (0.3, 0.1)]) if r.random() < (a if y else b)]
+        rows.append((r.choice([-1, -1, int(y)]), fired))
+    counted = Counter((k, tuple(f)) for k, f in rows)
+    patterns = spark.createDataFrame([(k, list(f), n) for (k, f), n in counted.items()], "key long, fired array<int>, n long")
+    a, b, prior, gold = np.array([0.5, 0.4, 0.3]), np.array([0.1, 0.1, 0.1]), 0.3, (0.95, 0.05)
+    model = toxicity.LabelModel(prior, a.copy(), b.copy()).fit(patterns, 3)
+    for _ in range(3):
+        post = []
+        for k, f in rows:
+            p, q = prior, 1 - prior
+            for j in range(3):
+                p *= a[j] if j in f else 1 - a[j]
+                q *= b[j] if j in f else 1 - b[j]
+            if k >= 0:
+                p *= gold[0] if k else 1 - gold[0]
+                q *= gold[1] if k else 1 - gold[1]
+            post.append(p / (p + q))
+        n1, n0 = sum(post), len(post) - sum(post)
+        on = lambda of: np.array([sum(x for x, (_, f) in zip(of, rows, strict=True) if j in f) for j in range(3)])
+        anti = [1 - x for x in post]
+        given = lambda of, y: sum(x for x, (k, _) in zip(of, rows, strict=True) if (k == 1 if y else k >= 0))
+        a, b = (on(post) + 0.5) / (n1 + 1), (on(anti) + 0.05) / (n0 + 1)
+        gold = ((given(post, 1) + 0.95) / (given(post, 0) + 1), (given(anti, 1) + 0.05) / (given(anti, 0) + 1))
+        prior = (n1 + 0.5) / (len(rows) + 1)
+    assert np.allclose(model.a, a) and np.allclose(model.b, b) and model.prior == pytest.approx(prior) and np.allclose(model.gold, np.clip(gold, 1e-3, 1 - 1e-3))
+
+
+def test_language_posterior_by_brute_force(spark):
+    rows = language_rows()[:40]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {x["id"]: x for x in langid.identify(df, declared=F.col("lang")).collect()}
+    langs = sorted({k for *_, k, _ in rows})
+    counts = {k: Counter() for k in langs}
+    each = {}
+    for i, t, k, _ in rows:
+        code, _ = langid.grams([t])
+        each[i] = Counter(code.tolist())
+        counts[k].update(each[i])
+    n = np.array([sum(k == x for *_, x, _ in rows) for k in langs], float)
+    size = np.array([sum(counts[k].values()) for k in langs], float)
+    lack = (5.0 / (5.0 + n)) ** 2
+    whole = sum(counts.values(), Counter())
+
+    def likelihood(j, g):
+        floor = 0.5 * max(size[j], 1) / max(size.max(), 1)
+        own = (counts[langs[j]][g] + floor) / (size[j] + floor * langid.BUCKETS)
+        return (1 - lack[j]) * own + lack[j] * (whole[g] + 0.5) / (size.sum() + 0.5 * langid.BUCKETS)
+
+    for i, _, k, _ in rows[:12]:
+        z = np.array([0.05 * sum(c * np.log(likelihood(j, g)) for g, c in each[i].items()) + np.log((n[j] + 0.5) / (n + 0.5).sum()) + np.log(0.9 if langs[j] == k else 0.1 / (len(langs) - 1)) for j in range(len(langs))])
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[i]["lang"] == langs[int(p.argmax())] and got[i]["confidence"] == pytest.approx(p.max())
+
+
+def test_repeated_rows_are_scored_alike(spark):
+    rows = [(i, text(20), "en", "s", 1) for i in range(20)] * 2
+    lab = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    scored = Counter(x["doc_id"] for x in toxicity.score(frame(spark, rows), lab).collect())
+    told = Counter(x["id"] for x in langid.identify(frame(spark, rows), declared=F.col("lang")).collect())
+    pages = spark.createDataFrame([(1, "u", PAGE)] * 2, "page_id long, url string, html string")
+    assert scored == told == Counter(i for i, *_ in rows) and len(html.extract(pages).collect()) == 2
+
+
+def test_text_of_odd_elements():
+    page = "<html><body><nav><a href=x>Home</a></nav><article><p>One <svg viewBox='0'/>two.</p><noscript><p>Three four five.</p></noscript><p>Six <math><mi>x</mi><mo>=</mo><mn>2</mn></math> seven <object>eight</object> nine.</p></article></body></html>"
+    assert " ".join(b.text for b in html.blocks(page)[1:]) == "One two. Three four five. Six x=2 seven eight nine."
