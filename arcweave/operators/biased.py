@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,28 +74,112 @@ def bn_nlpl_edge(raw, rows, fixed: dict | None = None) -> float:
     return -total
 
 
-def bn_nlpl_triad(raw, rows, order: int, fixed: dict | None = None) -> float:
-    """Each triple's dyads given their shared parents: every dyad is in order - 2 triples."""
-    return max(0, order - 2) * bn_nlpl_dyad(raw, rows, fixed)
+#: Dyads of a triple of vertices 0, 1, 2, and the states of one: null, up (first to second), down, mutual.
+_DYADS = ((0, 1), (1, 2), (0, 2))
+_ARCS = tuple({0: (), 1: (p,), 2: (p[::-1],), 3: (p, p[::-1])} for p in _DYADS)
+#: Outcomes of a trial: a null dyad is answered as mutual, one way, or not; a one-way dyad becomes mutual or stays.
+_TRIALS = {0: ((3, 0), (1, 1), (2, 1), (0, 2)), 1: ((3, 3), (1, 4)), 2: ((3, 3), (2, 4)), 3: ((3, None),)}
+
+
+def _has_parent(states: tuple, dyad: int) -> bool:
+    """Whether the third vertex sends to both of a dyad's."""
+    on = {a for arcs, s in zip(_ARCS, states, strict=True) if s is not None for a in arcs[s]}
+    i, j = _DYADS[dyad]
+    return (3 - i - j, i) in on and (3 - i - j, j) in on
+
+
+@functools.cache
+def triad_terms(null_trials: bool) -> dict[tuple[int, int, int], list]:
+    """How each state of a triple comes about, by the biased net's order-free process.
+
+    The three dyads are drawn in random order, each with one parent more where the third vertex already
+    sends to both. A dyad that gets its parent only later has one trial then: a one-way tie may be answered,
+    and (with ``null_trials``) a null dyad be tied. What a trial adds may make further parents. For each
+    state: (weight, ((drawn state, parents more) of each dyad), how often each outcome of _TRIALS)."""
+    terms: dict[tuple, Counter] = {}
+    for order in itertools.permutations(range(3)):
+        paths = [((None,) * 3, (None,) * 3, frozenset(), (0,) * 5, 1 / 6)]  # states, draws, dyads with a trial, outcomes, weight
+        for at in order:
+            drawn = []
+            for states, draws, tried, outcomes, w in paths:
+                more = int(_has_parent(states, at))
+                put = lambda t, x, at=at: (*t[:at], x, *t[at + 1 :])
+                drawn += [(put(states, x), put(draws, (x, more)), tried | {at} if more else tried, outcomes, w) for x in range(4)]
+            paths = []
+            while drawn:
+                states, draws, tried, outcomes, w = drawn.pop()
+                due = [q for q in range(3) if states[q] is not None and q not in tried and _has_parent(states, q)]
+                if not due:
+                    paths.append((states, draws, tried, outcomes, w))
+                    continue
+                for results in itertools.product(*[_TRIALS[states[q]] if null_trials or states[q] else ((0, None),) for q in due]):
+                    after, counts = list(states), list(outcomes)
+                    for q, (x, outcome) in zip(due, results, strict=True):
+                        after[q] = x
+                        if outcome is not None:
+                            counts[outcome] += 1
+                    drawn.append((tuple(after), draws, tried | set(due), tuple(counts), w))
+        for states, draws, _, outcomes, w in paths:
+            terms.setdefault(states, Counter())[draws, outcomes] += w
+    return {states: [(w, draws, outcomes) for (draws, outcomes), w in found.items()] for states, found in terms.items()}
+
+
+def triad_probabilities(states: tuple[int, int, int], parents: np.ndarray, pi: float, sigma: float, rho: float, d: float, *, null_trials: bool) -> np.ndarray:
+    """Probability of a triple's state for rows of the three dyads' shared parents."""
+    answer = 1 - (1 - sigma) * (1 - rho)
+    outcomes = np.array([sigma * answer, sigma * (1 - answer), 1 - sigma * (2 - answer), answer, 1 - answer])
+    k = np.asarray(parents, float)
+    tables = []
+    for more in (0, 1):
+        first = 1 - (1 - sigma) ** (k + more) * (1 - d)
+        alone = (1 - pi) * ((1 - rho) * (1 - sigma)) ** (k + more) * (1 - d)
+        tables.append((1 - first * (1 + alone), first * alone, first * alone, first * (1 - alone)))
+    total = np.zeros(len(k))
+    for w, draws, counts in triad_terms(null_trials)[states]:
+        x = np.full(len(k), w * np.prod(outcomes ** np.array(counts)))
+        for dyad, (state, more) in enumerate(draws):
+            x = x * tables[more][state][:, dyad]
+        total += x
+    return np.maximum(total, 0.0)
+
+
+def bn_triples(g: Graph) -> DataFrame:
+    """a, b, c (states of the dyads of i < j < k: ij, jk, ik), p, q, r (their shared parents), count, over all
+    triples of one graph. Rows of the plan are first vertices; the order guard holds."""
+    m = g.local()
+    on = (m.w > 0) & ~m.na & ~np.eye(m.n, dtype=bool)
+    state = (on + 2 * on.T).astype(np.int64)
+    shared = on.T.astype(np.int64) @ on
+    np.fill_diagonal(shared, 0)
+    spark, n = g.vertices.sparkSession, m.n
+
+    def run(parts):
+        for part in parts:
+            for i in part["id"].astype(int):
+                j, k = np.triu_indices(n - i - 1, 1)
+                j, k = j + i + 1, k + i + 1
+                rows = pd.DataFrame({"a": state[i, j], "b": state[j, k], "c": state[i, k], "p": shared[i, j], "q": shared[j, k], "r": shared[i, k]})
+                yield rows.groupby(list("abcpqr"), as_index=False).size().rename(columns={"size": "count"})
+
+    tasks = max(1, min(n, spark.sparkContext.defaultParallelism * 4))
+    return spark.range(0, n, 1, tasks).mapInPandas(run, "a long, b long, c long, p long, q long, r long, count long").groupBy(*"abcpqr").agg(F.sum("count").alias("count"))
+
+
+def bn_nlpl_triad(raw, triples: pd.DataFrame, fixed: dict | None = None) -> float:
+    """Minus the log pseudo-likelihood of all triples, each given its dyads' shared parents; null dyads have no trial."""
+    p, total = parameters(raw, fixed), 0.0
+    for states, rows in triples.groupby(["a", "b", "c"]):
+        x = triad_probabilities(tuple(int(s) for s in states), rows[["p", "q", "r"]].to_numpy(), *p, null_trials=False)
+        total += float((rows["count"].to_numpy() * np.log(np.maximum(x, 1e-300))).sum())
+    return -total
 
 
 def bn_ptriad(pi: float, sigma: float, rho: float, d: float) -> np.ndarray:
-    """Masses of the sixteen classes: the stationary distribution of the net's conditional
-    probabilities on three vertices, in the order of DIRECTED_TRIAD_CLASSES."""
-    arcs = [(i, j) for i in range(3) for j in range(3) if i != j]
-    move = np.zeros((64, 64))
-    for s in range(64):
-        on = {a for b, a in enumerate(arcs) if s >> b & 1}
-        for b, (i, j) in enumerate(arcs):
-            k = 3 - i - j
-            p = _bias(int((k, i) in on and (k, j) in on), (j, i) in on, pi, sigma, rho, d)
-            move[s, s | 1 << b] += p / 6
-            move[s, s & ~(1 << b)] += (1 - p) / 6
-    a = np.vstack([move.T - np.eye(64), np.ones(64)])
-    x = np.linalg.lstsq(a, np.append(np.zeros(64), 1.0), rcond=None)[0]
+    """Masses of the sixteen classes, in the order of DIRECTED_TRIAD_CLASSES, for a triple without other parents."""
     out = dict.fromkeys(DIRECTED_TRIAD_CLASSES, 0.0)
-    for s in range(64):
-        out[triad_name({a for b, a in enumerate(arcs) if s >> b & 1})] += max(0.0, x[s])
+    for states in triad_terms(True):
+        on = {a for arcs, s in zip(_ARCS, states, strict=True) for a in arcs[s]}
+        out[triad_name(on)] += float(triad_probabilities(states, np.zeros((1, 3)), pi, sigma, rho, d, null_trials=True)[0])
     return np.array(list(out.values()))
 
 
@@ -145,8 +232,8 @@ def bn(g: Graph, method: str = "mple.triad", *, seed_parameters: dict | None = N
         census = [counts[k] for k in DIRECTED_TRIAD_CLASSES]
         loss = lambda x: bn_nltl(x, census, fixed)
     else:
-        rows, order = _rows(bn_dyad_stats(g)), g.orders.first()["n"]
-        loss = {"mple.dyad": lambda x: bn_nlpl_dyad(x, rows, fixed), "mple.edge": lambda x: bn_nlpl_edge(x, rows, fixed), "mple.triad": lambda x: bn_nlpl_triad(x, rows, order, fixed)}[method]
+        rows = _rows(bn_dyad_stats(g)) if method != "mple.triad" else bn_triples(g).toPandas()
+        loss = {"mple.dyad": lambda x: bn_nlpl_dyad(x, rows, fixed), "mple.edge": lambda x: bn_nlpl_edge(x, rows, fixed), "mple.triad": lambda x: bn_nlpl_triad(x, rows, fixed)}[method]
     x, value = nelder_mead(loss, x0, step=0.2, maxit=1000) if len(x0) else (x0, loss(x0))
     return BiasedNet(*parameters(x, fixed), value, method)
 

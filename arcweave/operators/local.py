@@ -246,13 +246,13 @@ def _gtrans_correlation(g: Graph) -> DataFrame:
 def brokerage(g: Graph, classes: DataFrame) -> DataFrame:
     """graph_id, vid and the counts w_i, w_o, b_io, b_oi, b_o, t of brokered two-paths i -> j -> k without i -> k.
 
-    classes: vid, cl (any scalar; null is a class of its own)."""
+    classes: vid, cl (any scalar; null, and a vertex without a row, are one class of their own)."""
     t = g.known.where("src <> dst and weight <> 0").select("graph_id", "src", "dst")
     a, b = t.select("graph_id", F.col("src").alias("i"), F.col("dst").alias("j")), t.select("graph_id", F.col("src").alias("j"), F.col("dst").alias("k"))
     p = a.join(b, ["graph_id", "j"]).where("i <> k").join(t.select("graph_id", F.col("src").alias("i"), F.col("dst").alias("k")), ["graph_id", "i", "k"], "left_anti")
-    c = classes.select("vid", F.coalesce(F.col("cl").cast("string"), F.lit("\0null")).alias("cl"))
+    c = classes.select("vid", F.col("cl").cast("string").alias("cl"))
     for v in "ijk":
-        p = p.join(c.select(F.col("vid").alias(v), F.col("cl").alias(f"c{v}")), v)
+        p = p.join(c.select(F.col("vid").alias(v), F.col("cl").alias(f"c{v}")), v, "left").fillna("\0null", f"c{v}")
     role = F.when((F.col("ci") == F.col("cj")) & (F.col("cj") == F.col("ck")), "w_i").when(F.col("ci") == F.col("ck"), "w_o").when(F.col("ci") == F.col("cj"), "b_oi_").when(F.col("cj") == F.col("ck"), "b_oi").otherwise("b_o")
     s = p.groupBy("graph_id", F.col("j").alias("vid")).agg(*[F.sum((role == key).cast("long")).alias(name) for name, key in (("w_i", "w_i"), ("w_o", "w_o"), ("b_io", "b_oi_"), ("b_oi", "b_oi"), ("b_o", "b_o"))], F.count("*").alias("t"))
     return _vertices(g).join(s, ["graph_id", "vid"], "left").fillna(0, ["w_i", "w_o", "b_io", "b_oi", "b_o", "t"])

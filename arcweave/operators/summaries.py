@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -108,36 +109,106 @@ def plot_equiv_clust(d: Dendrogram, spark) -> DataFrame:
 BROKER_ROLES = ("w_i", "w_o", "b_io", "b_oi", "b_o", "t")
 
 
+#: Whether a role takes sender, broker and receiver of these classes.
+_ROLE = {
+    "w_i": lambda a, b, c: a == b == c,
+    "w_o": lambda a, b, c: a == c != b,
+    "b_io": lambda a, b, c: a == b != c,
+    "b_oi": lambda a, b, c: b == c != a,
+    "b_o": lambda a, b, c: len({a, b, c}) == 3,
+    "t": lambda a, b, c: True,
+}
+
+
+def _together(places: tuple[int, int, int], d: float) -> float:
+    """Covariance, under independent ties of probability d, of brokerage of (0, 1, 2) and of ``places``
+    (sender, broker, receiver; 3 and above are other vertices)."""
+    signs: dict[tuple[int, int], set[int]] = {}
+    for i, j, k in ((0, 1, 2), places):
+        for arc, sign in (((i, j), 1), ((j, k), 1), ((i, k), 0)):
+            signs.setdefault(arc, set()).add(sign)
+    both = 0.0 if any(len(s) > 1 for s in signs.values()) else math.prod(d if s == {1} else 1 - d for s in signs.values())
+    return both - (d * d * (1 - d)) ** 2
+
+
+def role_moments(size: dict, role: str, d: float, broker=None) -> tuple[float, float]:
+    """Mean and variance of a role's count, over all brokers, or for one broker of a class.
+
+    Sums over the classes of the vertices of two brokered triples that share an arc; all others are independent."""
+    fits, classes = _ROLE[role], list(size)
+
+    def ways(of: tuple) -> int:
+        """Choices of distinct vertices of these classes; the second is the given broker, if there is one."""
+        left, total = dict(size), 1
+        if broker is not None:
+            left[broker] -= 1
+        for at, c in enumerate(of):
+            if at != 1 or broker is None:
+                total *= max(0, left[c])
+                left[c] -= 1
+        return total
+
+    mean = var = 0.0
+    for of in itertools.product(classes, repeat=3):
+        if fits(*of) and (broker is None or of[1] == broker):
+            mean += ways(of) * d * d * (1 - d)
+    for places in itertools.product(range(5), repeat=3):
+        others = [x for x in places if x > 2]
+        if len(set(places)) < 3 or others != sorted(set(others)) or others not in ([], [3]) or (broker is not None and places[1] != 1):
+            continue
+        cov = _together(places, d)
+        if abs(cov) < 1e-18:
+            continue
+        for of in itertools.product(classes, repeat=3 + len(others)):
+            if (broker is None or of[1] == broker) and fits(*of[:3]) and fits(*(of[x] for x in places)):
+                var += ways(of) * cov
+    return mean, max(0.0, var)
+
+
 def brokerage_moments(g: Graph, classes: DataFrame) -> DataFrame:
-    """cl, role, expected: means of each role for a broker of each class, under random ties at the observed density."""
+    """cl, role, expected, sd: moments of each role for a broker of each class, and (cl null) over all brokers,
+    under independent ties at the observed density. Grows with the number of classes, not of vertices."""
     n = g.orders.first()["n"]
     ties = g.known.where("src <> dst and weight <> 0").count()
     d = ties / (n * (n - 1)) if n > 1 else 0.0
-    size = {r["cl"]: r["k"] for r in classes.groupBy("cl").agg(F.count("*").alias("k")).collect()}
+    size = {r["cl"]: r["k"] for r in _labelled(g.vertices.select("vid"), classes).groupBy("cl").agg(F.count("*").alias("k")).collect()}
     rows = []
-    for cl, k in size.items():
-        others = [x for c, x in size.items() if c != cl]
-        pairs = {"w_i": (k - 1) * (k - 2), "w_o": sum(x * (x - 1) for x in others), "b_io": (k - 1) * (n - k), "b_oi": (k - 1) * (n - k), "b_o": sum(x * (n - k - x) for x in others)}
-        pairs["t"] = (n - 1) * (n - 2)
-        rows += [(str(cl), role, float(c * d * d * (1 - d))) for role, c in pairs.items()]
-    return classes.sparkSession.createDataFrame(rows, "cl string, role string, expected double")
+    for cl in [*size, None]:
+        for role in BROKER_ROLES:
+            mean, var = role_moments(size, role, d, cl)
+            rows.append((cl, role, float(mean), math.sqrt(var)))
+    return classes.sparkSession.createDataFrame(rows, "cl string, role string, expected double, sd double")
 
 
-def summary_brokerage(g: Graph, classes: DataFrame) -> DataFrame:
-    """vid, role, count, expected, z, p (normal, two-sided); the variance is that of independent triples."""
+def _labelled(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (vid, ...) with their class as text; none and null are one class."""
+    return rows.join(classes.select("vid", F.col("cl").cast("string").alias("cl")), "vid", "left").fillna("", "cl")
+
+
+def _against_chance(long: DataFrame, g: Graph, classes: DataFrame) -> DataFrame:
+    m = brokerage_moments(g, classes).withColumnsRenamed({"cl": "of", "role": "its"})
+    j = long.join(F.broadcast(m), F.col("cl").eqNullSafe(F.col("of")) & (F.col("role") == F.col("its")))  # six rows a class
+    j = j.withColumn("z", fdiv(F.col("count") - F.col("expected"), F.col("sd")))
+    rows = [(*r, normal_two_sided(r["z"]) if math.isfinite(r["z"]) else math.nan) for r in j.select("vid", "role", "count", "expected", "sd", "z").collect()]  # six rows a vertex, a report
+    return classes.sparkSession.createDataFrame(rows, "vid long, role string, count long, expected double, sd double, z double, p double")
+
+
+def _by_role(g: Graph, classes: DataFrame) -> DataFrame:
     from .local import brokerage
 
-    n = g.orders.first()["n"]
-    b = brokerage(g, classes).join(classes.select("vid", F.col("cl").cast("string").alias("cl")), "vid")
-    long = b.select("vid", "cl", F.expr(f"stack({len(BROKER_ROLES)}, {', '.join(f'{chr(39)}{r}{chr(39)}, {r}' for r in BROKER_ROLES)}) as (role, count)"))
-    ties = g.known.where("src <> dst and weight <> 0").count()
-    d = ties / (n * (n - 1)) if n > 1 else 0.0
-    q = d * d * (1 - d)
-    j = long.join(brokerage_moments(g, classes), ["cl", "role"])
-    z = fdiv(F.col("count") - F.col("expected"), F.sqrt(F.col("expected") * (1 - q)))
-    j = j.withColumn("z", z)
-    rows = [(*r, normal_two_sided(r["z"]) if math.isfinite(r["z"]) else math.nan) for r in j.select("vid", "role", "count", "expected", "z").collect()]  # six rows a vertex, a report
-    return classes.sparkSession.createDataFrame(rows, "vid long, role string, count long, expected double, z double, p double")
+    stacked = F.expr(f"stack({len(BROKER_ROLES)}, {', '.join(f'{chr(39)}{r}{chr(39)}, {r}' for r in BROKER_ROLES)}) as (role, count)")
+    return _labelled(brokerage(g, classes), classes).select("vid", "cl", stacked)
+
+
+def summary_brokerage(g: Graph, classes: DataFrame) -> DataFrame:
+    """vid, role, count, expected, sd, z, p (normal, two-sided) of each broker."""
+    return _against_chance(_by_role(g, classes), g, classes)
+
+
+def global_brokerage(g: Graph, classes: DataFrame) -> DataFrame:
+    """role, count, expected, sd, z, p over all brokers."""
+    total = _by_role(g, classes).groupBy("role").agg(F.sum("count").alias("count"))
+    return _against_chance(total.withColumns({"vid": F.lit(None).cast("long"), "cl": F.lit(None).cast("string")}), g, classes).drop("vid")
 
 
 def print_summary_brokerage(g: Graph, classes: DataFrame) -> str:
