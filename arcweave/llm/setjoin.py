@@ -381,14 +381,26 @@ def unpack(z: bytes) -> bytes:
 
 
 def _joined(tiles: DataFrame, percent: int, *keys: str) -> DataFrame:
-    """Links (u, v) within each tile of rows (keys, name, label, s); equal labels are linked already."""
+    """Stars (u, v) of linked labels within each tile of rows (keys, name, label, s): v is the least label of
+    a group, u any other. Sets of one label are linked already."""
 
     def link(table: pa.Table) -> pa.Table:
         at = {x: i for i, x in enumerate(table.column("name").to_pylist())}  # a set may be there twice
         names = sorted(at)
         s, label = table.column("s"), table.column("label").to_pylist()
-        forest = join_sets([np.frombuffer(s[at[x]].as_py(), np.uint64) for x in names], percent, groups=[label[at[x]] for x in names])
-        return pa.table({"u": pa.array([names[x] for x, _ in forest], pa.int64()), "v": pa.array([names[y] for _, y in forest], pa.int64())})
+        label = [label[at[x]] for x in names]
+        least: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while least.get(x, x) != x:
+                x = least[x]
+            return x
+
+        for x, y in join_sets([np.frombuffer(s[at[n]].as_py(), np.uint64) for n in names], percent, groups=label):
+            low, high = sorted((find(label[x]), find(label[y])))
+            least[high] = low
+        stars = [(x, find(x)) for x in sorted(least) if find(x) != x]
+        return pa.table({"u": pa.array([x for x, _ in stars], pa.int64()), "v": pa.array([y for _, y in stars], pa.int64())})
 
     return tiles.groupBy(*keys).applyInArrow(link, "u long, v long")
 
@@ -403,23 +415,21 @@ def _links(sets: DataFrame, percent: int, tile: int) -> DataFrame:
     block = lambda n: F.pmod(F.xxhash64("name"), F.ceil(F.col(n) / tile).cast("long")).cast("int")
     found = materialize(_joined(sets.select("root", "name", F.col("name").alias("label"), "s", block("size").alias("b")), percent, "root", "b"))
     deep = sets.where(f"size > {tile}")
-    before = None
+    labels = deep.select("name", "root", "size", F.col("name").alias("label"))
+    if labels.isEmpty():
+        return found
+    stars, before, last = found, None, False
     while True:
-        names = deep.select("name", "root", "size")
-        if names.isEmpty():
-            return found
-        labels = connected_components(found.join(fresh(names.select(F.col("name").alias("u")), "u"), "u", "left_semi"))
-        labels = materialize(names.join(labels, F.col("name") == F.col("node"), "left").select("name", names["root"], "size", F.coalesce(labels["root"], "name").alias("label")))
-        first = labels.where("name = label").select("name", "root").join(fresh(labels.where("name = label").groupBy("root").agg(F.count("*").alias("groups")), "root"), "root")
-        first = materialize(first)
+        labels = materialize(labels.join(stars, F.col("label") == F.col("u"), "left").select("name", "root", "size", F.coalesce("v", "label").alias("label")))
+        first = labels.where("name = label").select("name", "root")
+        first = materialize(first.join(fresh(first.groupBy("root").agg(F.count("*").alias("groups")), "root"), "root"))
         most, now = first.agg(F.max("groups"), F.count("*")).first()
-        if most == 1 or (before is not None and now > before / 2):
+        if last or most == 1 or (before is not None and now > before / 2):
             break
-        before = now
+        before, last = now, most <= tile  # within one block all first members of a component meet
         again = deep.select("name", "s").join(first.where("groups > 1"), "name").select("root", "name", F.col("name").alias("label"), "s", block("groups").alias("b"))
-        found = materialize(found.unionByName(_joined(again, percent, "root", "b")))
-        if most <= tile:
-            before = 0  # all first members of a component have met; a second round cannot add to them
+        stars = materialize(_joined(again, percent, "root", "b"))
+        found = found.unionByName(stars)
     of = labels.groupBy("root", "label").agg(F.count("*").alias("n"))
     largest = of.groupBy("root").agg(F.max(F.struct("n", "label"))["label"].alias("largest"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
     rest = labels.join(fresh(largest, "root"), "root")
@@ -429,7 +439,7 @@ def _links(sets: DataFrame, percent: int, tile: int) -> DataFrame:
     return found.unionByName(_joined(others.unionByName(every), percent, "root", "a", "b"))
 
 
-def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, tile: int = 128, bucket_chars: int = 32 << 20) -> DataFrame:
+def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, tile: int = 128, bucket_chars: int = 8 << 20) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id.
 
     Rows link when 100 * |A and B| >= percent * |A or B|, both non-empty. component_id: the
