@@ -452,7 +452,7 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     # Shares of the shingle space, so many that one stays small however large the input is.
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // bucket_chars))
-    dealt = rows.mapInArrow(tidy(_deal(k, buckets)), "batch long, bucket int, kind int, blob binary").repartition(buckets, "bucket")
+    dealt = rows.mapInArrow(tidy(_deal(k, buckets)), "batch long, bucket int, kind int, blob binary").repartitionById(buckets, F.col("bucket"))
     counted = dealt.mapInArrow(tidy(_count), "batch long, kind int, blob binary").repartition(buckets, "batch")
     posted = materialize(counted.mapInArrow(tidy(_post(percent)), "doc_id long, name long, n long, list long"))
     members = posted.where("list is null").select("doc_id", "name", "n")
