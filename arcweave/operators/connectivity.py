@@ -14,7 +14,7 @@ from .. import kernels as K
 from ..functions.stats import fdiv
 from ..graph import Graph, Local
 from ..sources.shared import materialize
-from .paths import geodist
+from .paths import MOST_TIES, geodist
 
 KINDS = ("strong", "weak", "unilateral", "recursive")
 
@@ -38,9 +38,50 @@ def weak_labels(g: Graph, *, max_rounds: int = 100) -> DataFrame:
         if now == was:
             break
         was = now
+    else:
+        raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     return g.vertices.select("graph_id", "vid").join(e.withColumnRenamed("u", "vid"), ["graph_id", "vid"], "left").select("graph_id", "vid", F.coalesce("v", "vid").alias("root"))
 
 
+def strong_labels(g: Graph, *, max_rounds: int = 100_000) -> DataFrame:
+    """graph_id, vid, root (least vertex of the strong component), by joins: for graphs beyond one process.
+
+    Every vertex takes the least vertex that reaches it, by forward steps; what also reaches that vertex
+    backwards, among vertices of its colour, is its component. These leave, and the rest starts again; ties
+    between colours leave too, as no component crosses them. Vertices without a tie in or out are their own."""
+    t = materialize(g.ties.where("src <> dst").select("graph_id", "src", "dst"))
+    found = []
+    for _ in range(max_rounds):
+        ends = t.select("graph_id", F.col("dst").alias("vid")).distinct().join(t.select("graph_id", F.col("src").alias("vid")).distinct(), ["graph_id", "vid"])
+        trimmed = materialize(t.join(ends.withColumnRenamed("vid", "src"), ["graph_id", "src"], "left_semi").join(ends.withColumnRenamed("vid", "dst"), ["graph_id", "dst"], "left_semi"))
+        if trimmed.isEmpty():
+            break
+        colour = materialize(trimmed.select("graph_id", F.col("src").alias("vid")).union(trimmed.select("graph_id", "dst")).distinct().withColumn("c", F.col("vid")))
+        for _ in range(max_rounds):
+            low = trimmed.join(colour.withColumnRenamed("vid", "src"), ["graph_id", "src"]).groupBy("graph_id", F.col("dst").alias("vid")).agg(F.min("c").alias("low"))
+            after = materialize(colour.join(low, ["graph_id", "vid"], "left").select("graph_id", "vid", F.least("c", F.coalesce("low", "c")).alias("c"), (F.coalesce("low", "c") < F.col("c")).alias("moved")))
+            colour = after.drop("moved")
+            if after.where("moved").isEmpty():
+                break
+        inside = trimmed.join(colour.select("graph_id", F.col("vid").alias("src"), F.col("c").alias("a")), ["graph_id", "src"]).join(colour.select("graph_id", F.col("vid").alias("dst"), F.col("c").alias("b")), ["graph_id", "dst"]).where("a = b").select("graph_id", "src", "dst")
+        inside = materialize(inside)
+        reached = front = materialize(colour.where("vid = c").select("graph_id", "vid"))
+        for _ in range(max_rounds):
+            step = inside.join(front.withColumnRenamed("vid", "dst"), ["graph_id", "dst"], "left_semi").select("graph_id", F.col("src").alias("vid")).distinct()
+            front = materialize(step.join(reached, ["graph_id", "vid"], "left_anti"))
+            if front.isEmpty():
+                break
+            reached = reached.unionByName(front)
+        found.append(materialize(colour.join(reached, ["graph_id", "vid"], "left_semi").withColumnRenamed("c", "root")))
+        t = materialize(inside.join(reached.withColumnRenamed("vid", "src"), ["graph_id", "src"], "left_anti").join(reached.withColumnRenamed("vid", "dst"), ["graph_id", "dst"], "left_anti"))
+    else:
+        raise RuntimeError(f"components are left after {max_rounds} rounds")
+    whole = g.vertices.select("graph_id", "vid")
+    for part in found:
+        whole = whole.join(part.withColumnRenamed("root", "r"), ["graph_id", "vid"], "left").select("graph_id", "vid", *([F.coalesce("root", "r").alias("root")] if "root" in whole.columns else [F.col("r").alias("root")]))
+    return whole.select("graph_id", "vid", F.coalesce(*(["root"] if found else []), "vid").alias("root"))
+
+
 def component_dist(g: Graph, connected: str = "strong") -> DataFrame:
     """graph_id, vid, label: labels from 0 by the first vertex of each component."""
     if connected not in KINDS:
@@ -51,6 +92,8 @@ def component_dist(g: Graph, connected: str = "strong") -> DataFrame:
             mutual = t.join(t.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst")), ["graph_id", "src", "dst"], "left_semi")
             g = replace(g, edges=mutual.withColumn("weight", F.lit(1.0)).withColumn("missing", F.lit(False)), threshold=0.0)
         roots = weak_labels(g)
+    elif connected == "strong" and g.ties.limit(MOST_TIES + 1).count() > MOST_TIES:
+        roots = strong_labels(g)
     elif connected == "strong":
         p = geodist(g).select("graph_id", "src", "dst")
         both = p.join(p.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst")), ["graph_id", "src", "dst"], "left_semi")
@@ -230,6 +273,8 @@ def kcores_peeled(g: Graph, cmode: str = "indegree", *, max_rounds: int = 100_00
         done = gone if done is None else done.unionByName(gone)
         alive = d.where(F.col("d") > k).select("graph_id", "vid")
         left = materialize(left.join(alive.withColumnRenamed("vid", "src"), ["graph_id", "src"], "left_semi").join(alive.withColumnRenamed("vid", "dst"), ["graph_id", "dst"], "left_semi"))
+    else:
+        raise RuntimeError(f"layers go on after {max_rounds} rounds")
     return done if done is not None else alive.withColumn("core", F.lit(0.0))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import fdiv, nan
 from ..graph import Graph
+from ..sources.shared import materialize
 
 #: Fixed order of the sixteen directed triad classes.
 DIRECTED_TRIAD_CLASSES = ("003", "012", "102", "021D", "021U", "021C", "111D", "111U", "030T", "030C", "201", "120D", "120U", "120C", "210", "300")
@@ -125,18 +126,24 @@ def triad_census(g: Graph) -> DataFrame:
     Only triples with a tied or missing dyad are enumerated; the empty class is what is left
     of all triples. Triples with a missing dyad are in no class."""
     d = _dyads(g).withColumn("state", F.when(F.col("missing"), 9).when(F.col("ij") & F.col("ji"), 3).when(F.col("ij"), 1).when(F.col("ji"), 2).otherwise(0)).where("state > 0").select("graph_id", "i", "j", "state")
+    d = materialize(d)  # derived once
+    unknown = "?"
+    kind = lambda c: F.when(F.col(c) == 9, unknown).when(F.col(c) == 3, "102" if g.directed else "1").when(F.col(c) > 0, "012" if g.directed else "1")
     flip = lambda c: F.when(F.col(c) == 1, 2).when(F.col(c) == 2, 1).otherwise(F.col(c))
     # Half-edges from each centre: triples with two or more live dyads come from pairs at a centre.
     half = d.select("graph_id", F.col("i").alias("c"), F.col("j").alias("o"), "state").union(d.select("graph_id", F.col("j"), F.col("i"), flip("state")))
     a, b = half.select("graph_id", "c", F.col("o").alias("p"), F.col("state").alias("cp")), half.select("graph_id", "c", F.col("o").alias("q"), F.col("state").alias("cq"))
     wedge = a.join(b, ["graph_id", "c"]).where("p < q")
     close = d.select("graph_id", F.col("i").alias("p"), F.col("j").alias("q"), F.col("state").alias("pq"))
-    w = wedge.join(close, ["graph_id", "p", "q"], "left").withColumn("pq", F.coalesce("pq", F.lit(0))).where("pq = 0 or c < p")
+    w = wedge.join(close, ["graph_id", "p", "q"], "left").withColumn("pq", F.coalesce("pq", F.lit(0)))
     # Out- and in-degrees inside the triple tell the class. State bits from the first to the second: 1 out, 2 in.
     out = lambda s: F.col(s).bitwiseAND(1)
     inn = lambda s: F.shiftright(s, 1)
-    w = w.where("cp < 9 and cq < 9 and pq < 9").select(
+    w = w.select(
         "graph_id",
+        kind("pq").alias("kind"),  # of the third dyad, null if it is empty
+        ((F.col("pq") == 0) | (F.col("c") < F.col("p"))).alias("once"),  # a triple with three live dyads has three centres
+        ((F.col("cp") < 9) & (F.col("cq") < 9) & (F.col("pq") < 9)).alias("known"),
         *[F.expr(f"({' + '.join(f'cast({c} = {v} as int)' for c in ('cp', 'cq', 'pq'))})").alias(k) for k, v in (("mut", 3), ("none", 0))],
         (inn("cp") + inn("cq")).alias("in_c"), (out("cp") + inn("pq")).alias("in_p"), (out("cq") + out("pq")).alias("in_q"),
         (out("cp") + out("cq")).alias("out_c"), (inn("cp") + out("pq")).alias("out_p"), (inn("cq") + inn("pq")).alias("out_q"),
@@ -157,17 +164,18 @@ def triad_census(g: Graph) -> DataFrame:
         )
     else:
         name = (3 - F.col("none")).cast("string")
-    many = w.groupBy("graph_id", name.alias("triad")).agg(F.count("*").alias("count"))
-    # Triples with one live dyad: per dyad, all third vertices but those that touch either end.
+    sums = materialize(w.groupBy("graph_id", "kind", "once", F.when(F.col("known"), name).alias("triad")).agg(F.count("*").alias("count")))
+    many = sums.where("once and triad is not null").groupBy("graph_id", "triad").agg(F.sum("count").alias("count"))
+    # Triples with one live dyad: per dyad, all third vertices but those that touch either end; those that
+    # touch both were taken away twice, and are the wedges over the dyad.
     ends = half.groupBy("graph_id", "c").agg(F.count("*").alias("k"))
-    both = wedge.select("graph_id", F.col("c").alias("z"), F.col("p").alias("i"), F.col("q").alias("j")).join(d.select("graph_id", "i", "j"), ["graph_id", "i", "j"], "left_semi").groupBy("graph_id", "i", "j").agg(F.count("*").alias("both"))
-    one = d.join(ends.select("graph_id", F.col("c").alias("i"), F.col("k").alias("ki")), ["graph_id", "i"]).join(ends.select("graph_id", F.col("c").alias("j"), F.col("k").alias("kj")), ["graph_id", "j"]).join(both, ["graph_id", "i", "j"], "left").join(g.orders, "graph_id")
-    alone = F.col("n") - F.col("ki") - F.col("kj") + F.coalesce("both", F.lit(0))
-    one = one.withColumn("alone", alone)
-    first = F.when(F.col("state") == 3, "102").otherwise("012") if g.directed else F.lit("1")
-    single = one.where("state < 9").groupBy("graph_id", first.alias("triad")).agg(F.sum("alone").alias("count"))
+    by_kind = half.join(ends, ["graph_id", "c"]).groupBy("graph_id", kind("state").alias("kind")).agg(F.sum("k").alias("touching"), (F.count("*") / 2).cast("long").alias("dyads"))
+    both = sums.where("kind is not null").groupBy("graph_id", "kind").agg(F.sum("count").alias("both"))
+    one = by_kind.join(both, ["graph_id", "kind"], "left").join(g.orders, "graph_id")
+    one = materialize(one.select("graph_id", "kind", (F.col("n") * F.col("dyads") - F.col("touching") + F.coalesce("both", F.lit(0))).alias("alone")))
+    single = one.where(f"kind <> '{unknown}'").select("graph_id", F.col("kind").alias("triad"), F.col("alone").alias("count"))
     # Live triples in all: each of the wedges' triples once, and the single ones.
-    live = wedge.join(close, ["graph_id", "p", "q"], "left").where("pq is null or c < p").groupBy("graph_id").agg(F.count("*").alias("x")).union(one.groupBy("graph_id").agg(F.sum("alone"))).groupBy("graph_id").agg(F.sum("x").alias("live"))
+    live = sums.where("once").select("graph_id", F.col("count").alias("x")).union(one.select("graph_id", "alone")).groupBy("graph_id").agg(F.sum("x").alias("live"))
     n = F.col("n")
     empty = g.orders.join(live, "graph_id", "left").select("graph_id", F.lit("003" if g.directed else "0").alias("triad"), ((n * (n - 1) * (n - 2) / 6).cast("long") - F.coalesce("live", F.lit(0))).alias("count"))
     classes = DIRECTED_TRIAD_CLASSES if g.directed else ("0", "1", "2", "3")

@@ -26,7 +26,7 @@ class NullTest:
     def tails(self) -> tuple[float, float]:
         """Shares of replicates at least, and at most, the observed value."""
         r = self.reps.agg(F.avg((F.col("value") >= self.observed).cast("double")), F.avg((F.col("value") <= self.observed).cast("double"))).first()
-        return float(r[0]), float(r[1])
+        return tuple(float("nan") if x is None else float(x) for x in r)
 
 
 def replicate(spark: SparkSession, reps: int, fn: Callable[[np.random.Generator], float], seed: int) -> DataFrame:

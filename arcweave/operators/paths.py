@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import fdiv, inf
 from ..graph import Graph
 from ..kernels import CSR, accumulate, paths_from
+from ..sources.shared import materialize
 
 BLOCK = 32
 #: Ties a broadcast adjacency may have (16 bytes each).
@@ -25,7 +26,7 @@ MOST_TIES = 5_000_000
 
 def _adjacency(g: Graph, ignore_eval: bool) -> dict[int, tuple[np.ndarray, CSR]]:
     """Per graph: vertex ids and adjacency. Size-checked, since it is broadcast."""
-    t = g.ties.where("src <> dst") if not g.loops else g.ties
+    t = materialize((g.ties.where("src <> dst") if not g.loops else g.ties).select("graph_id", "src", "dst", "weight"))  # derived once
     count = t.limit(MOST_TIES + 1).count()
     if count > MOST_TIES:
         raise ValueError(f"over {MOST_TIES} ties: use single_source")
@@ -85,9 +86,7 @@ def geodist(g: Graph, *, ignore_eval: bool = True, inf_replace: float | None = N
 
 def single_source(g: Graph, source: int, *, max_rounds: int = 10_000) -> DataFrame:
     """vid, dist, sigma from one vertex by frontier joins: for graphs beyond one process."""
-    from ..sources.shared import materialize
-
-    t = g.ties.select("src", "dst")
+    t = materialize(g.ties.select("src", "dst"))
     seen = front = materialize(g.vertices.where(F.col("vid") == source).select("vid", F.lit(0.0).alias("dist"), F.lit(1.0).alias("sigma")))
     for d in range(1, max_rounds):
         step = front.join(t, F.col("vid") == F.col("src")).groupBy("dst").agg(F.sum("sigma").alias("sigma")).withColumnRenamed("dst", "vid")
@@ -95,6 +94,8 @@ def single_source(g: Graph, source: int, *, max_rounds: int = 10_000) -> DataFra
         if front.limit(1).count() == 0:
             break
         seen = seen.unionByName(front)
+    else:
+        raise RuntimeError(f"paths go on after {max_rounds} rounds")
     return seen
 
 

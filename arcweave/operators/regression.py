@@ -226,7 +226,7 @@ def netcancor(y: Graph, x: Graph, *, nullhyp: str = "cugtie", reps: int = 1000,
                 out.append(fit(stack(xx), stack(yy))[0].tolist())
             yield pd.DataFrame({"rep": p["id"], "value": out})
 
-    null = np.array(spark.range(0, reps, 1, max(1, min(reps, spark.sparkContext.defaultParallelism * 2))).mapInPandas(run, "rep long, value array<double>").orderBy("rep").toPandas()["value"].tolist(), float).reshape(reps, -1)
+    null = np.array(spark.range(0, reps, 1, max(1, min(reps, spark.sparkContext.defaultParallelism * 2))).mapInPandas(run, "rep long, value array<double>").orderBy("rep").toPandas()["value"].tolist(), float).reshape(reps, len(cor))
     return {"cor": cor, "xcoef": cx, "ycoef": cy, "p_le": (null <= cor).mean(0) if reps else np.full(len(cor), np.nan), "p_ge": (null >= cor).mean(0) if reps else np.full(len(cor), np.nan), "null": null}
 
 

@@ -55,17 +55,16 @@ def evcent_joins(g: Graph, *, rounds: int = 100, tol: float = 1e-8) -> DataFrame
     """The power method by joins: for graphs beyond one process (one graph, values as they are)."""
     e = materialize(g.ties.select("src", "dst", "weight"))
     x = materialize(g.vertices.select("vid", F.lit(1.0).alias("x")))
-    was = None
     for _ in range(rounds):
         y = e.join(x, F.col("dst") == F.col("vid")).groupBy("src").agg(F.sum(F.col("weight") * F.col("x")).alias("y"))
         size = y.agg(F.sqrt(F.sum(F.col("y") * F.col("y")))).first()[0]
         if not size:
             return x.withColumn("x", F.lit(float("nan"))).withColumnRenamed("x", "evcent")
-        x = materialize(g.vertices.select("vid").join(y.withColumnRenamed("src", "vid"), "vid", "left").select("vid", (F.coalesce("y", F.lit(0.0)) / size).alias("x")))
-        if was is not None and abs(size - was) < tol:
-            break
-        was = size
-    return x.withColumnRenamed("x", "evcent")
+        was, x = x, materialize(g.vertices.select("vid").join(y.withColumnRenamed("src", "vid"), "vid", "left").select("vid", (F.coalesce("y", F.lit(0.0)) / size).alias("x")))
+        moved = x.join(was.withColumnRenamed("x", "was"), "vid").agg(F.max(F.abs(F.col("x") - F.col("was")))).first()[0]
+        if moved is None or moved < tol:
+            return x.withColumnRenamed("x", "evcent")
+    raise RuntimeError(f"no fixed direction after {rounds} rounds")
 
 
 def bonpow(g: Graph, *, exponent: float = 1.0, rescale: bool = False, tol: float = 1e-7) -> DataFrame:

@@ -238,3 +238,5 @@ add("clique_census", lambda s, d: DROP(connectivity.clique_census(TRADE(s, d))["
 add("label_propagation", lambda s, d: DROP(connectivity.label_propagation(TRADE(s, d))))
 add("maxflow", lambda s, d: connectivity.maxflow(_big(s, d)))
 add("redist", lambda s, d: rounded(roles.redist(_big(s, d)), "redist"))
+
+from . import more  # noqa: E402, F401  (registers more queries)
