@@ -4,9 +4,9 @@ Recurring passages are confirmed without sending all windows around: of each win
 ``span`` words, the least hash of its inner runs of words is an anchor, equal windows have
 equal anchors, and only windows whose anchor lies in two documents are hashed, counted and
 given an owner (the least id that has them). The owner's text yields the passages: maximal runs
-of its confirmed windows, dealt to shards of bounded size. Each shard is compiled into an
-Aho-Corasick automaton over words, once for every chunk of the documents that visit it, and the
-chunk's documents stream through it. What is removed comes from the automaton's matches alone,
+of its confirmed windows, dealt to shards of bounded size. The windows of each shard are compiled
+into an Aho-Corasick automaton over words, once for every chunk of the documents that visit it,
+and the chunk's documents stream through it. What is removed comes from the automaton's matches alone,
 which compare words with the owner's words. Hashes only say which shards a document visits: a
 document without a confirmed window's hash holds no passage and visits none."""
 
@@ -122,57 +122,39 @@ def _passages(span: int, shards: int, most: int = 4096):
 
 
 class Automaton:
-    """Aho-Corasick over words. A passage's phrases are its consecutive halves of a window: every window
-    of a passage holds one whole. Where a phrase matches, the match is carried on in both directions as
-    far as document and passage agree word by word; ``span`` words or more make an occurrence."""
+    """Aho-Corasick over words. Its phrases are the windows of ``span`` words of some passages, each with its
+    owner; all are of one length, so that at most one ends at a word of a document."""
 
     def __init__(self, span: int):
-        self.span, self.size, self.numbers, self.ready = span, max(1, span // 2), {}, False
+        self.span, self.numbers, self.ready = span, {}, False
         self.inner = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        self.passages: list[tuple[int, np.ndarray]] = []
 
     def add(self, owner: int, words: list[bytes]) -> None:
+        """A window is to be in one passage only."""
         number = self.numbers
-        ids = [number.setdefault(w, len(number) + 1) for w in words]
-        for i in range(0, len(ids) - self.size + 1, self.size):
-            phrase = tuple(ids[i : i + self.size])
-            places = self.inner.get(phrase, None)
-            if places is None:
-                self.inner.add_word(phrase, [(len(self.passages), i)])
-            else:
-                places.append((len(self.passages), i))
-        self.passages.append((owner, np.array(ids, np.int32)))
+        ids = tuple([number.setdefault(w, len(number) + 1) for w in words])
+        put, span = self.inner.add_word, self.span
+        for i in range(len(ids) - span + 1):
+            put(ids[i : i + span], owner)
 
     def covered(self, doc: int, words: list[bytes]) -> tuple[list[int], list[int]]:
-        """Runs of words (first, end) that are occurrences of passages whose owner is below ``doc``."""
+        """Runs of words (first, end) under matches whose owner is below ``doc``."""
         if not self.ready and len(self.inner):
             self.inner.make_automaton()
             self.ready = True
-        if not self.ready or len(words) < self.span:
-            return [], []
-        get = self.numbers.get
-        ids = tuple([get(w, 0) for w in words])  # 0 is no word of a passage
-        own, done, runs = None, {}, []
-        for end, places in self.inner.iter(ids):
-            at = end - self.size + 1
-            for passage, i in places:
-                owner, other = self.passages[passage]
-                line = passage, at - i
-                if owner >= doc or at < done.get(line, 0):
-                    continue
-                if own is None:
-                    own = np.array(ids, np.int32)
-                back = min(at, i)
-                apart = np.flatnonzero(own[at - back : at] != other[i - back : i])
-                lo = at - back + int(apart[-1]) + 1 if len(apart) else at - back
-                on = min(len(own) - at, len(other) - i)
-                apart = np.flatnonzero(own[at : at + on] != other[i : i + on])
-                hi = at + int(apart[0]) if len(apart) else at + on
-                done[line] = hi
-                if hi - lo >= self.span:
-                    runs.append((lo, hi))
-        runs.sort()
-        return [lo for lo, _ in runs], [hi for _, hi in runs]
+        lo: list[int] = []
+        hi: list[int] = []
+        if self.ready and len(words) >= self.span:
+            get = self.numbers.get
+            for end, owner in self.inner.iter(tuple([get(w, 0) for w in words])):  # 0 is no word of a passage
+                if owner < doc:
+                    start = end - self.span + 1
+                    if hi and start <= hi[-1]:
+                        hi[-1] = end + 1
+                    else:
+                        lo.append(start)
+                        hi.append(end + 1)
+        return lo, hi
 
 
 def _locate(span: int):
@@ -214,14 +196,14 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("name"), pa.array(gone, pa.int64()), pa.array([_sha(x) for x in left], pa.string()), pa.array(texts, pa.string())], names=["id", "name", "n_removed", "sha", "kept"])
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = 50, with_text: bool = False, shard_windows: int = 65536, chunk_docs: int = 4096) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = 50, with_text: bool = False, shard_windows: int = 16384, chunk_docs: int = 4096) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256 (and kept, the text, if asked for).
 
     A word goes if a window of ``span`` consecutive words that covers it also starts in a row
     with a smaller id. Null texts have no words. Null ids come after all others; rows of one
     id do not remove each other's words; equal rows give equal results; an empty table gives an
-    empty result. A shard's passages hold about ``shard_windows`` windows; its automaton has
-    a node for each of their words at most."""
+    empty result. A shard's passages hold about ``shard_windows`` windows (2.4 KB each in
+    its automaton)."""
     arrow_rows(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     survey = materialize(rows.mapInArrow(tidy(_survey(span)), "id long, name long, n_words long, sha string, anchors array<long>"))
