@@ -17,37 +17,58 @@ from ..functions.stats import fdiv, rng
 from ..graph import Graph, Local
 
 
-def _cells(g: Graph) -> DataFrame:
-    """graph_id, src, dst, x (null: missing) of the compared cells; undirected graphs below the diagonal."""
-    c = g.grid if g.directed else g.grid.where("src >= dst")
-    return c.select("graph_id", "src", "dst", F.when(~F.col("missing"), F.col("weight")).alias("x"))
-
-
-def _cell_pairs(g: Graph, other: Graph | None, g1, g2) -> DataFrame:
-    a = _cells(g).select(F.col("graph_id").alias("g1"), "src", "dst", "x")
-    b = _cells(other or g).select(F.col("graph_id").alias("g2"), "src", "dst", F.col("x").alias("y"))
-    if g1 is not None:
-        a = a.where(F.col("g1").isin(g1))
-    if g2 is not None:
-        b = b.where(F.col("g2").isin(g2))
-    return a.join(b, ["src", "dst"]).where("x is not null and y is not null")
+def _pair_sums(g: Graph, other: Graph | None, g1, g2) -> DataFrame:
+    """g1, g2, n, sx, sy, sxx, syy, sxy, dist: sums over the cells known in both graphs (of undirected ones, below
+    the diagonal), dist of absolute differences. Only stored cells are joined; all others are zeros, and counted.
+
+    The graphs of a pair are of one order, on the same vertices."""
+    other = other or g
+
+    def side(of: Graph, name: str, value: str, ids) -> tuple[DataFrame, DataFrame]:
+        e = of.edges if of.directed else of.edges.where("src >= dst")
+        e = e.select(F.col("graph_id").alias(name), "src", "dst", F.when(~F.col("missing"), F.col("weight")).alias(value))
+        o = of.orders.withColumnsRenamed({"graph_id": name, "n": "order"})
+        if ids is not None:
+            e, o = e.where(F.col(name).isin(ids)), o.where(F.col(name).isin(ids))
+        x = F.col(value)
+        s = e.groupBy(name).agg(*[F.sum(v).alias(value + k) for k, v in (("1", x), ("2", x * x), ("a", F.abs(x)))], F.sum(x.isNull().cast("long")).alias(value + "m"))
+        return e, o.join(s, name, "left").fillna(0)
+
+    a, sa = side(g, "g1", "x", g1)
+    b, sb = side(other, "g2", "y", g2)
+    x, y = F.col("x"), F.col("y")
+    known = x.isNotNull() & y.isNotNull()
+    only = {"cx": F.when(y.isNull(), x), "cxx": F.when(y.isNull(), x * x), "cxa": F.when(y.isNull(), F.abs(x)), "cy": F.when(x.isNull(), y), "cyy": F.when(x.isNull(), y * y), "cya": F.when(x.isNull(), F.abs(y))}
+    met = a.join(b, ["src", "dst"]).groupBy("g1", "g2").agg(
+        F.sum(F.when(known, x * y)).alias("sxy"), F.sum(F.when(known, F.abs(x) + F.abs(y) - F.abs(x - y))).alias("shared"),
+        F.sum((x.isNull() & y.isNull()).cast("long")).alias("mm"), *[F.sum(v).alias(k) for k, v in only.items()],
+    )
+    pairs = sa.crossJoin(sb.drop("order")).join(met, ["g1", "g2"], "left").fillna(0)  # a row a pair of graphs
+    cells = F.col("order") * (F.col("order") - 1) / (1 if g.directed else 2) + (F.col("order") if g.loops else 0)
+    c = F.col
+    return pairs.select(
+        "g1", "g2", (cells - c("xm") - c("ym") + c("mm")).alias("n"), (c("x1") - c("cx")).alias("sx"), (c("y1") - c("cy")).alias("sy"), (c("x2") - c("cxx")).alias("sxx"), (c("y2") - c("cyy")).alias("syy"),
+        "sxy", (c("xa") - c("cxa") + c("ya") - c("cya") - c("shared")).alias("dist"),
+    )
 
 
 def gcov(g: Graph, other: Graph | None = None, *, g1=None, g2=None) -> DataFrame:
     """g1, g2, gcov: sample covariance over cells known in both."""
-    return _cell_pairs(g, other, g1, g2).groupBy("g1", "g2").agg(F.covar_samp("x", "y").alias("gcov"))
+    s = _pair_sums(g, other, g1, g2)
+    n = F.col("n")
+    return s.select("g1", "g2", F.when(n > 1, (F.col("sxy") - F.col("sx") * F.col("sy") / F.when(n > 1, n)) / F.when(n > 1, n - 1)).alias("gcov"))
 
 
 def gcor(g: Graph, other: Graph | None = None, *, g1=None, g2=None) -> DataFrame:
     """g1, g2, gcor: Pearson correlation; NaN where one does not vary."""
-    s = _cell_pairs(g, other, g1, g2).groupBy("g1", "g2").agg(F.count("*").alias("n"), *[F.sum(e).alias(k) for k, e in (("sx", F.col("x")), ("sy", F.col("y")), ("sxx", F.col("x") * F.col("x")), ("syy", F.col("y") * F.col("y")), ("sxy", F.col("x") * F.col("y")))])
+    s = _pair_sums(g, other, g1, g2)
     n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
     return s.select("g1", "g2", fdiv(n * F.col("sxy") - sx * sy, F.sqrt((n * F.col("sxx") - sx * sx) * (n * F.col("syy") - sy * sy))).alias("gcor"))
 
 
 def hdist(g: Graph, other: Graph | None = None, *, g1=None, g2=None, normalize: bool = False) -> DataFrame:
     """g1, g2, hdist: sum of absolute differences over the cells, over the possible ties if normalized."""
-    s = _cell_pairs(g, other, g1, g2).groupBy("g1", "g2").agg(F.sum(F.abs(F.col("x") - F.col("y"))).alias("d"))
+    s = _pair_sums(g, other, g1, g2).select("g1", "g2", F.col("dist").alias("d"))
     if normalize:
         from .local import nties
 

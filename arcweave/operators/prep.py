@@ -213,13 +213,17 @@ def interval_graph(spells: DataFrame, kind: str = "simple", *, diag: bool = Fals
     """idx pairs of spells that overlap (closed intervals): graph_id, src, dst, value.
 
     simple 1; overlap its length; fracxy, fracyx its share of the first or second; jntfrac twice
-    its length over both. With ``width`` the range join becomes an equi-join on time buckets."""
+    its length over both. The range join is an equi-join on time buckets of ``width``, else of the spells'
+    mean length, or of so much that there are no more buckets than spells."""
     graph = "graph_id" if "graph_id" in spells.columns else None
     s = spells.select((F.col(graph) if graph else F.lit(0).cast("long")).alias("graph_id"), F.col("idx").alias("src"), F.col("onset").cast("double").alias("o1"), F.col("terminus").cast("double").alias("t1"))
     if s.where("o1 > t1 or isnan(o1) or isnan(t1) or o1 is null or t1 is null or abs(o1) = double('inf') or abs(t1) = double('inf')").limit(1).count():
         raise ValueError("spells must be finite and end no earlier than they begin")
     u = s.select("graph_id", F.col("src").alias("dst"), F.col("o1").alias("o2"), F.col("t1").alias("t2"))
     overlap = (F.col("o1") <= F.col("t2")) & (F.col("t1") >= F.col("o2"))
+    if not width:
+        first, last, mean, count = s.agg(F.min("o1"), F.max("t1"), F.avg(F.col("t1") - F.col("o1")), F.count("*")).first()
+        width = max(mean, (last - first) / count) if count else None  # then a spell is in two buckets or so, and buckets are no more than spells
     if width:
         bucket = lambda o, t: F.explode(F.sequence(F.floor(F.col(o) / width), F.floor(F.col(t) / width)))
         j = s.withColumn("k", bucket("o1", "t1")).join(u.withColumn("k", bucket("o2", "t2")), ["graph_id", "k"]).where(overlap)
