@@ -150,15 +150,24 @@ def gvectorize(g: Graph, *, censor_as_na: bool = True) -> DataFrame:
     return (rows if censor_as_na else rows.where("not cut")).select("graph_id", "pos", "value")
 
 
-def event2dichot(g: Graph, method: str = "quantile", *, thresh: float | list[float] = 0.5, leq: bool = False) -> Graph:
-    """Dichotomize values: quantile, mean, absolute or rank; over all cells, or by row (r...) or column (c...)."""
+def event2dichot(g: Graph, method: str = "quantile", *, thresh: float | list[float] = 0.5, leq: bool = False, rank_semantics: str = "cell") -> Graph:
+    """Dichotomize values: quantile, mean, absolute or rank; over all cells, or by row (r...) or column (c...).
+
+    rank_semantics: "cell" marks the cells of the largest values, up to the threshold; "order" is by the
+    sorting permutation: place p (from the smallest value on) is marked if the p-th smallest value stood
+    among the last places, fewer than the threshold from the end, column-major."""
     names = {"quantile": ("quantile", None), "rquantile": ("quantile", "src"), "cquantile": ("quantile", "dst"), "mean": ("mean", None), "rmean": ("mean", "src"), "cmean": ("mean", "dst"), "absolute": ("absolute", None), "rabsolute": ("absolute", "src"), "cabsolute": ("absolute", "dst"), "rank": ("rank", None), "rrank": ("rank", "src"), "crank": ("rank", "dst")}
     if method not in names:
         raise ValueError(f"unknown method {method}")
     kind, by = names[method]
     cells = replace(g, loops=True).grid
     keys = ["graph_id"] + ([by] if by else [])
-    if kind == "rank":
+    if kind == "rank" and rank_semantics == "order":
+        own = Window.partitionBy(*keys)
+        cells = cells.withColumn("at", F.row_number().over(own.orderBy("dst", "src"))).withColumn("of", F.count("*").over(own))
+        by_value = cells.select(*keys, F.row_number().over(own.orderBy("missing", "weight", "at")).alias("at"), F.col("missing").alias("gone"), (F.col("of") - F.col("at") + 1 < thresh).alias("hit"))
+        cells = cells.drop("missing").join(by_value, [*keys, "at"]).withColumnRenamed("gone", "missing")
+    elif kind == "rank":
         # Largest first; missing cells last. Cells of rank up to the threshold are ties.
         r = F.row_number().over(Window.partitionBy(*keys).orderBy("missing", F.desc("weight"), "dst", "src"))
         cells = cells.withColumn("hit", r <= thresh)

@@ -236,6 +236,7 @@ add("gapply_distance", lambda s, d: rounded((lambda g: prep.gapply(g, "row", loc
 add("gapply_function", lambda s, d: rounded((lambda g: prep.gapply(g, "col", local.degree(g).withColumnRenamed("degree", "value"), lambda x: float(x.max() - x.min())))(TRADE(s, d)), "value"), f"{TRADE_SQL}, st AS ({Q._deg.format(i='coalesce(i, 0) + coalesce(o, 0)', x='weight').replace('AS degree', 'AS value')}) SELECT v.vid, round(max(value) - min(value), 6) AS value FROM v LEFT JOIN e ON e.dst = v.vid LEFT JOIN st ON st.vid = e.src GROUP BY 1")
 add("stochastic_rowcol", lambda s, d: (lambda e: e.groupBy("src").agg(F.sum("weight").alias("x")).select(F.col("src").alias("vid"), (F.abs(F.col("x") - 1) < 0.01).alias("near_one")))(prep.make_stochastic(G_FULL(s, d), "rowcol").edges), f"{TRADE_SQL} SELECT vid, TRUE AS near_one FROM v")
 add("event2dichot_rank", lambda s, d: prep.event2dichot(STACK(s, d), "rrank", thresh=2).edges.select("graph_id", "src", "dst", "weight"), f"{STACK_SQL}, cell AS (SELECT a.graph_id, a.vid AS src, b.vid AS dst, coalesce(e.weight, 0) AS w FROM v a JOIN v b ON a.graph_id = b.graph_id LEFT JOIN e ON e.graph_id = a.graph_id AND e.src = a.vid AND e.dst = b.vid), rk AS (SELECT *, row_number() OVER (PARTITION BY graph_id, src ORDER BY w DESC, dst) AS r FROM cell) SELECT graph_id, src, dst, CAST(1 AS DOUBLE) AS weight FROM rk WHERE r <= 2 AND src <> dst")
+add("event2dichot_rank_order", lambda s, d: prep.event2dichot(STACK(s, d), "rrank", thresh=3, rank_semantics="order").edges.select("graph_id", "src", "dst", "weight"), f"{STACK_SQL}, cell AS (SELECT a.graph_id, a.vid AS src, b.vid AS dst, coalesce(e.weight, 0) AS w FROM v a JOIN v b ON a.graph_id = b.graph_id LEFT JOIN e ON e.graph_id = a.graph_id AND e.src = a.vid AND e.dst = b.vid), rk AS (SELECT graph_id, src, dst AS i, row_number() OVER (PARTITION BY graph_id, src ORDER BY w, dst) - 1 AS p FROM cell) SELECT graph_id, src, p AS dst, CAST(1 AS DOUBLE) AS weight FROM rk WHERE 5 - i < 3 AND p <> src")
 G_FULL = lambda s, d: Graph.from_tables(G.trade(s, d)[0], prep.as_sociomatrix_sna(TRADE(s, d)).where("src <> dst").select("src", "dst", (F.col("weight") + 1).alias("weight")))
 _spread = lambda x: f"count(*) * max({x}) - sum({x})"
 for _name, _measure, _kw, _sql, _col in (
