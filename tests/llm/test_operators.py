@@ -841,3 +841,11 @@ def test_repeated_rows_are_scored_alike(spark):
 def test_text_of_odd_elements():
     page = "<html><body><nav><a href=x>Home</a></nav><article><p>One <svg viewBox='0'/>two.</p><noscript><p>Three four five.</p></noscript><p>Six <math><mi>x</mi><mo>=</mo><mn>2</mn></math> seven <object>eight</object> nine.</p></article></body></html>"
     assert " ".join(b.text for b in html.blocks(page)[1:]) == "One two. Three four five. Six x=2 seven eight nine."
+
+
+def test_whole_texts_of_held_out_pages():
+    field, exact, pages = html.default_field(), 0, list(html.labelled_pages(100, seed=91))
+    for page, good in pages:
+        b, y = html.label(page, good)
+        exact += html.main_text(page, field) == " ".join(x.text for x, keep in zip(b, y, strict=True) if keep)
+    assert exact > 0.85 * len(pages)

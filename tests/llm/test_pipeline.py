@@ -31,6 +31,24 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in pipeline.run(spark, str(tmp_path)).collect()} == names[4][1]
 
 
+def test_stages_of_odd_tables(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated rows, repeated ids, clashing columns; and no rows at all."""
+    from pyspark.sql import functions as F
+
+    spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, "some words of a text that is long enough to tell", "en", "a", 9), (2, "some words of a text that is long enough to tell", "en", "a", 9), (2, "quite another text under the same id as before it", "en", "a", 9), (None, "a text without any id but with words and letters", "en", None, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("x") for c in ("_id", "_key", "_p", "row_key", "name", "blob")})
+    for name, stage in pipeline.STAGES:
+        out, none = stage(spark, df, str(tmp_path)), stage(spark, df.where("false"), str(tmp_path))
+        assert none.count() == 0, name
+        texts = {r["text"] for r in out.collect()} if "text" in out.columns else None
+        assert texts is None or {x[1] for x in rows[2:]} <= texts, name
+        if name in ("benchmark decontamination", "secret scans", "best-fit packing"):
+            assert out.count() == len(rows), name
+        if name == "n-gram Jaccard join":
+            assert out.where("doc_id = 2").count() == 3
+
+
 def test_secrets_are_masked(spark):
     df = spark.createDataFrame([(1, "see token=abcdefghijklmnop now", "en", "s", 30)], "doc_id long, text string, lang string, source string, n_chars long")
     r = pipeline.secret_scan(spark, df, "").first()
