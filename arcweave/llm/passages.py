@@ -123,19 +123,28 @@ def _passages(span: int, shards: int, most: int = 4096):
 
 class Automaton:
     """Aho-Corasick over words. Its phrases are the windows of ``span`` words of some passages, each with its
-    owner; all are of one length, so that at most one ends at a word of a document."""
+    owner; all are of one length, so that at most one ends at a word of a document.
+
+    A word is two symbols of unlike alphabets: a node looks its children up one by one, and so has few."""
+
+    FEW = 128
 
     def __init__(self, span: int):
         self.span, self.numbers, self.ready = span, {}, False
         self.inner = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
 
+    def _symbols(self, ids: list[int]) -> tuple[int, ...]:
+        """0, for no word of a passage, begins no phrase."""
+        n = np.array(ids, np.int64)
+        return tuple(np.stack([np.where(n > 0, n // self.FEW + 1, 0), n % self.FEW + (1 << 24)], 1).ravel().tolist())
+
     def add(self, owner: int, words: list[bytes]) -> None:
         """A window is to be in one passage only."""
         number = self.numbers
-        ids = tuple([number.setdefault(w, len(number) + 1) for w in words])
-        put, span = self.inner.add_word, self.span
-        for i in range(len(ids) - span + 1):
-            put(ids[i : i + span], owner)
+        symbols = self._symbols([number.setdefault(w, len(number) + 1) for w in words])
+        put, wide = self.inner.add_word, 2 * self.span
+        for i in range(0, len(symbols) - wide + 1, 2):
+            put(symbols[i : i + wide], owner)
 
     def covered(self, doc: int, words: list[bytes]) -> tuple[list[int], list[int]]:
         """Runs of words (first, end) under matches whose owner is below ``doc``."""
@@ -146,14 +155,15 @@ class Automaton:
         hi: list[int] = []
         if self.ready and len(words) >= self.span:
             get = self.numbers.get
-            for end, owner in self.inner.iter(tuple([get(w, 0) for w in words])):  # 0 is no word of a passage
+            for at, owner in self.inner.iter(self._symbols([get(w, 0) for w in words])):
                 if owner < doc:
-                    start = end - self.span + 1
+                    end = at // 2 + 1
+                    start = end - self.span
                     if hi and start <= hi[-1]:
-                        hi[-1] = end + 1
+                        hi[-1] = end
                     else:
                         lo.append(start)
-                        hi.append(end + 1)
+                        hi.append(end)
         return lo, hi
 
 
@@ -196,13 +206,13 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("name"), pa.array(gone, pa.int64()), pa.array([_sha(x) for x in left], pa.string()), pa.array(texts, pa.string())], names=["id", "name", "n_removed", "sha", "kept"])
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = 50, with_text: bool = False, shard_windows: int = 16384, chunk_docs: int = 4096) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = 50, with_text: bool = False, shard_windows: int = 8192, chunk_docs: int = 4096) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256 (and kept, the text, if asked for).
 
     A word goes if a window of ``span`` consecutive words that covers it also starts in a row
     with a smaller id. Null texts have no words. Null ids come after all others; rows of one
     id do not remove each other's words; equal rows give equal results; an empty table gives an
-    empty result. A shard's passages hold about ``shard_windows`` windows (2.4 KB each in
+    empty result. A shard's passages hold about ``shard_windows`` windows (5 KB each in
     its automaton)."""
     arrow_rows(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
