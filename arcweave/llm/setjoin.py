@@ -411,24 +411,25 @@ def _links(sets: DataFrame, percent: int, tile: int) -> DataFrame:
     Sets are joined in blocks of about ``tile`` of one candidate component. Where a component has several
     blocks, the groups' first members are joined in blocks again, until they fit one block or no longer get
     fewer. Then all sets outside a component's largest group (few, where the component is one of near copies)
-    meet each of its blocks; sets of the largest group do not meet each other again."""
+    meet each of its blocks; sets of the largest group do not meet each other again. Tables on the way are
+    narrow and mostly small: "rebalance" writes each to as few files as its size asks for."""
     block = lambda n: F.pmod(F.xxhash64("name"), F.ceil(F.col(n) / tile).cast("long")).cast("int")
-    found = materialize(_joined(sets.select("root", "name", F.col("name").alias("label"), "s", block("size").alias("b")), percent, "root", "b"))
+    found = materialize(_joined(sets.select("root", "name", F.col("name").alias("label"), "s", block("size").alias("b")), percent, "root", "b").hint("rebalance"))
     deep = sets.where(f"size > {tile}")
     labels = deep.select("name", "root", "size", F.col("name").alias("label"))
     if labels.isEmpty():
         return found
     stars, before, last = found, None, False
     while True:
-        labels = materialize(labels.join(stars, F.col("label") == F.col("u"), "left").select("name", "root", "size", F.coalesce("v", "label").alias("label")))
+        labels = materialize(labels.join(stars, F.col("label") == F.col("u"), "left").select("name", "root", "size", F.coalesce("v", "label").alias("label")).hint("rebalance"))
         first = labels.where("name = label").select("name", "root")
-        first = materialize(first.join(fresh(first.groupBy("root").agg(F.count("*").alias("groups")), "root"), "root"))
+        first = materialize(first.join(fresh(first.groupBy("root").agg(F.count("*").alias("groups")), "root"), "root").hint("rebalance"))
         most, now = first.agg(F.max("groups"), F.count("*")).first()
         if last or most == 1 or (before is not None and now > before / 2):
             break
         before, last = now, most <= tile  # within one block all first members of a component meet
         again = deep.select("name", "s").join(first.where("groups > 1"), "name").select("root", "name", F.col("name").alias("label"), "s", block("groups").alias("b"))
-        stars = materialize(_joined(again, percent, "root", "b"))
+        stars = materialize(_joined(again, percent, "root", "b").hint("rebalance"))
         found = found.unionByName(stars)
     of = labels.groupBy("root", "label").agg(F.count("*").alias("n"))
     largest = of.groupBy("root").agg(F.max(F.struct("n", "label"))["label"].alias("largest"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
@@ -454,7 +455,10 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // bucket_chars))
     dealt = rows.mapInArrow(tidy(_deal(k, buckets)), "batch long, bucket int, kind int, blob binary").repartitionById(buckets, F.col("bucket"))
     counted = dealt.mapInArrow(tidy(_count), "batch long, kind int, blob binary").repartition(buckets, "batch")
-    posted = materialize(counted.mapInArrow(tidy(_post(percent)), "doc_id long, name long, n long, list long"))
+    # A writing task takes eight shares, one after another, so that there are few small files (on file:// each costs
+    # three chmod processes); there are as many tasks as cores at least.
+    writers = max(min(buckets, spark.sparkContext.defaultParallelism), -(-buckets // 8))
+    posted = materialize(counted.mapInArrow(tidy(_post(percent)), "doc_id long, name long, n long, list long").coalesce(writers))
     members = posted.where("list is null").select("doc_id", "name", "n")
     # Star edges of the index lists: the candidate graph's components hold all links.
     lists = posted.where("list is not null").select("name", "list").distinct()
@@ -464,7 +468,7 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     named = members.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("many"))
     wanted = roots.join(sizes, "root").join(named, F.col("node") == F.col("name")).select("name", "root", "size", F.col("doc_id").alias("_id"))
     fetched = squeeze(rows).join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("z", "name", "root", "size")
-    sets = materialize(fetched.mapInArrow(tidy(_fetch(k)), "name long, root long, size long, s binary"))
+    sets = materialize(fetched.mapInArrow(tidy(_fetch(k)), "name long, root long, size long, s binary").coalesce(writers))
     links = _links(sets, percent, tile)
     groups = connected_components(links)
     least = groups.join(named, F.col("node") == F.col("name"), "left").groupBy("root").agg(F.min("doc_id").alias("low"), F.count("*").alias("many"))

@@ -263,6 +263,23 @@ def test_jaccard_components(spark, rows, table, empty, k, percent, tile):
     assert setjoin.components(empty).count() == 0
 
 
+def test_join_writes_few_files(spark, monkeypatch):
+    """Each part file costs processes that executors start (chmod on file://): shares are written together."""
+    files = []
+
+    def counted(df):
+        out = materialize(df)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(setjoin, "materialize", counted)
+    many = families(7)
+    got = Counter(map(tuple, setjoin.components(frame(spark, many).repartition(40), tile=4, bucket_chars=300).collect()))
+    assert got == brute_components(many, 4, 85)
+    shares = -(-sum(len(x) for _, x, *_ in many) // 300)
+    assert shares >= 40 and max(files) <= -(-shares // 8)
+
+
 def test_join_sets_in_one_task():
     for seed in range(20):
         many = families(seed)
