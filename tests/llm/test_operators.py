@@ -201,6 +201,18 @@ def test_redaction(spark, rows):
     assert len(got) == len({(i, x) for i, x, *_ in many})
 
 
+def test_redaction_writes_no_table(spark, rows, monkeypatch):
+    """Each part file costs processes that executors start (chmod on file://): a ledger that nobody gets is not written."""
+    many = rows + [(100 + i, s, "en", "b", 1) for i, s in enumerate(SECRETS)]
+    df, written = frame(spark, many), []
+    _, ledger = secrets.find(df)
+    monkeypatch.setattr(secrets, "materialize", lambda x: written.append(x) or materialize(x))
+    plain = Counter(map(str, secrets.redact(df).collect()))
+    assert not written
+    assert plain == Counter(map(str, secrets.redact(df, ledger=ledger).collect()))  # by way of a stored ledger
+    assert written
+
+
 def test_secret_scan_is_native(table):
     plan = secrets.find(table)[0]._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
