@@ -147,19 +147,30 @@ class Graph:
         v = self.vertices if graph_id is None else self.vertices.where(F.col("graph_id") == graph_id)
         e = self.edges if graph_id is None else self.edges.where(F.col("graph_id") == graph_id)
         vid = [r[0] for r in v.select("vid").orderBy("vid").limit(_LIMIT[0] + 1).collect()]
-        if len(vid) > _LIMIT[0]:
-            raise ValueError(f"order over the limit of {_LIMIT[0]}; see set_max_graph_order")
+        _within_limit(len(vid))
         return Local.of(vid, e.select("src", "dst", "weight", "missing").toPandas(), self)
 
     def locals(self) -> list[Local]:
-        ids = [r[0] for r in self.vertices.select("graph_id").distinct().orderBy("graph_id").collect()]
-        return [self.local(g) for g in ids]
+        """The graphs of the stack by id, each as by ``local``; however many they are, the edges are derived once."""
+        for _, n in self.orders.collect():
+            _within_limit(n)
+        vid: dict[int, list] = {}
+        for i, v in self.vertices.select("graph_id", "vid").orderBy("graph_id", "vid").collect():
+            vid.setdefault(i, []).append(v)
+        e = self.edges.select("graph_id", "src", "dst", "weight", "missing").toPandas()
+        own = dict(iter(e.groupby("graph_id")))
+        return [Local.of(vs, own.get(i, e.iloc[:0]), self) for i, vs in vid.items()]
 
     def to_matrix(self, weighted: bool = False) -> list[list[float]]:
         m = self.local()
         return (m.w if weighted else m.a.astype(float)).tolist()
 
 
+def _within_limit(n: int) -> None:
+    if n > _LIMIT[0]:
+        raise ValueError(f"order over the limit of {_LIMIT[0]}; see set_max_graph_order")
+
+
 def _is_matrix(m) -> bool:
     return not len(m) or not len(m[0]) or not hasattr(m[0][0], "__len__")
 

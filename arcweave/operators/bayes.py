@@ -17,7 +17,8 @@ from ..graph import Graph
 
 def _stack(g: Graph) -> np.ndarray:
     """observers x n x n reports, NaN where missing or on the unused diagonal."""
-    x = np.stack([m.values() for m in g.locals()])
+    ms = [m.values() for m in g.locals()]
+    x = np.stack(ms) if ms else np.empty((0, 0, 0))
     if not g.loops:
         x[:, np.eye(x.shape[1], dtype=bool)] = np.nan
     return x
@@ -188,8 +189,9 @@ def bbnam_jntlik_slice(s: int, x: np.ndarray, a: np.ndarray, em, ep, *, log: boo
     return total if log else math.exp(total)
 
 
-def bbnam_jntlik(g: Graph, a, em, ep, *, log: bool = True) -> float:
-    x = _stack(g)
+def bbnam_jntlik(g: Graph | np.ndarray, a, em, ep, *, log: bool = True) -> float:
+    """Likelihood of all reports. g: a stack, or the array of its reports where that is at hand."""
+    x = g if isinstance(g, np.ndarray) else _stack(g)
     total = sum(bbnam_jntlik_slice(s, x, np.asarray(a), em, ep) for s in range(len(x)))
     return total if log else math.exp(total)
 

@@ -155,8 +155,8 @@ for _kind, _zero, _sql in (("covariance", "ss / n", "ab / k"), ("correlation", "
 
 _votes = f"{INFORM_SQL}, ob AS (SELECT graph_id FROM seg), rp AS (SELECT ob.graph_id, p.src, p.dst, CAST(e.src IS NOT NULL AS DOUBLE) AS x FROM ob CROSS JOIN pairs p LEFT JOIN e ON e.graph_id = ob.graph_id AND e.src = p.src AND e.dst = p.dst)"
 add("consensus_single_reweight", lambda s, d: rounded(bayes.consensus(INFORM(s, d), "single.reweight"), "value"), f"{_votes}, r AS (SELECT a.graph_id AS i, b.graph_id AS j, coalesce(corr(a.x, b.x), 0) AS c FROM rp a JOIN rp b USING (src, dst) GROUP BY 1, 2), w AS (SELECT i, greatest(sum(c), 0) AS w FROM r GROUP BY 1) SELECT src, dst, round(sum(x * w) / (SELECT sum(w) FROM w), 6) AS value FROM rp JOIN w ON w.i = rp.graph_id GROUP BY 1, 2 HAVING sum(x * w) <> 0")
-add("bbnam_jntlik", lambda s, d: (lambda g: one(s, log_likelihood=bayes.bbnam_jntlik(g, member(g, 0).local().a, 0.2, 0.1)))(INFORM(s, d)), f"{_votes}, t AS (SELECT src, dst, x AS a FROM rp WHERE graph_id = 0) SELECT round(sum(CASE WHEN a > 0 AND x > 0 THEN ln(0.8) WHEN a > 0 THEN ln(0.2) WHEN x > 0 THEN ln(0.1) ELSE ln(0.9) END), 6) AS log_likelihood FROM rp JOIN t USING (src, dst)")
-add("bbnam_jntlik_slice", lambda s, d: (lambda g: s.createDataFrame([(i, round(bayes.bbnam_jntlik_slice(i, bayes._stack(g), member(g, 0).local().a, 0.2, 0.1), 6)) for i in range(5)], "slice long, log_likelihood double"))(INFORM(s, d)), f"{_votes}, t AS (SELECT src, dst, x AS a FROM rp WHERE graph_id = 0) SELECT graph_id AS slice, round(sum(CASE WHEN a > 0 AND x > 0 THEN ln(0.8) WHEN a > 0 THEN ln(0.2) WHEN x > 0 THEN ln(0.1) ELSE ln(0.9) END), 6) AS log_likelihood FROM rp JOIN t USING (src, dst) GROUP BY 1")
+add("bbnam_jntlik", lambda s, d: (lambda x: one(s, log_likelihood=bayes.bbnam_jntlik(x, x[0] > 0, 0.2, 0.1)))(bayes._stack(INFORM(s, d))), f"{_votes}, t AS (SELECT src, dst, x AS a FROM rp WHERE graph_id = 0) SELECT round(sum(CASE WHEN a > 0 AND x > 0 THEN ln(0.8) WHEN a > 0 THEN ln(0.2) WHEN x > 0 THEN ln(0.1) ELSE ln(0.9) END), 6) AS log_likelihood FROM rp JOIN t USING (src, dst)")
+add("bbnam_jntlik_slice", lambda s, d: (lambda x: s.createDataFrame([(i, round(bayes.bbnam_jntlik_slice(i, x, x[0] > 0, 0.2, 0.1), 6)) for i in range(len(x))], "slice long, log_likelihood double"))(bayes._stack(INFORM(s, d))), f"{_votes}, t AS (SELECT src, dst, x AS a FROM rp WHERE graph_id = 0) SELECT graph_id AS slice, round(sum(CASE WHEN a > 0 AND x > 0 THEN ln(0.8) WHEN a > 0 THEN ln(0.2) WHEN x > 0 THEN ln(0.1) ELSE ln(0.9) END), 6) AS log_likelihood FROM rp JOIN t USING (src, dst) GROUP BY 1")
 add("bbnam_probtie", lambda s, d: one(s, p=bayes.bbnam_probtie(INFORM(s, d), 0, 1, prior=0.4, em=0.2, ep=0.1)), f"{_votes}, l AS (SELECT exp(sum(ln(CASE WHEN x > 0 THEN 0.8 ELSE 0.2 END))) * 0.4 AS a, exp(sum(ln(CASE WHEN x > 0 THEN 0.1 ELSE 0.9 END))) * 0.6 AS b FROM rp WHERE src = 0 AND dst = 1) SELECT round(a / (a + b), 6) AS p FROM l")
 for _model, _width in (("pooled", 1), ("actor", 5)):
     add(f"bbnam_{_model}", lambda s, d, m=_model: (lambda f: one(s, draws=len(f.net), rates=int(f.em.shape[1]), order=int(f.net.shape[1]), sound=bool(((f.em > 0) & (f.em < 1) & (f.ep > 0) & (f.ep < 1)).all()), loops=int(f.net[:, range(25), range(25)].sum())))(bayes.bbnam(INFORM(s, d), m, reps=2, draws=20, burntime=10, seed=1)), f"SELECT CAST(20 AS BIGINT) AS draws, CAST({_width} AS BIGINT) AS rates, CAST(25 AS BIGINT) AS \"order\", TRUE AS sound, CAST(0 AS BIGINT) AS loops")

@@ -257,3 +257,28 @@ def test_stats(spark):
     x = stats.log_sub([1, 2, 0], [2, 2, -1])
     assert math.isnan(x[0]) and x[1] == -math.inf and x[2] == pytest.approx(math.log(1 - math.exp(-1)))
     assert stats.rng(3, 4).random() == stats.rng(3, 4).random() != stats.rng(3, 5).random()
+
+
+def test_a_stack_is_derived_once(spark):
+    """All graphs of a stack as arrays: the edges are read once, the order guard holds for each, graphs without ties stay."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(parts):
+        for p in parts:
+            seen.add(len(p))
+            yield p
+
+    ms = [[[0, 1, 2], [3, 0, NAN], [0, 4, 0]], [[0] * 3] * 3, [[0, 5], [0, 0]]]
+    g = Graph.from_matrix(spark, ms)
+    rows = g.edges.count()
+    once = Graph(g.vertices, g.edges.mapInPandas(read, g.edges.schema), g.directed, g.loops, g.threshold)
+    stack = once.locals()
+    assert seen.value == rows
+    assert [m.values().tolist() for m in stack][1:] == ms[1:] and np.array_equal(stack[0].values(), np.array(ms[0]), equal_nan=True)
+    assert all(np.array_equal(a, b) for i, m in enumerate(stack) for a, b in ((m.vid, g.local(i).vid), (m.a, g.local(i).a), (m.na, g.local(i).na)))
+    was = gr.set_max_graph_order(2)
+    try:
+        with pytest.raises(ValueError, match="order over the limit of 2"):
+            g.locals()
+    finally:
+        gr.set_max_graph_order(was)
